@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from komagrid.llm import codepoints, mixing, packing, survivors
+from komagrid.llm import codepoints, mixing, packing, residue, survivors
 from komagrid.session import table
 
 
@@ -66,6 +66,16 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens that stay once residue is left out, by source."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "n_tokens")
+    return residue.without_residue(docs).groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
