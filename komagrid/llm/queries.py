@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from komagrid.llm import codepoints, mixing, packing, residue, survivors
+from komagrid.llm import codepoints, lang, langid, mixing, packing, residue, survivors
 from komagrid.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    left_out = residue.residue(documents.select("doc_id", "text"))
+    return langid.find(documents, table(spark, folder, "chapters"), table(spark, folder, "region_info"), table(spark, folder, "manga"), left_out)
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's runs of sentences of one language, with confidence."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return langid.segments(documents, lang.fit(documents))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "context_names")
     of_names = names.select("name_id", "source").unionByName(names.select("name_id", F.col("target").alias("source")))
