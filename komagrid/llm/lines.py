@@ -34,28 +34,38 @@ def titles(manga: DataFrame) -> dict[str, str]:
     return {r[0]: s for r in bounded_rows(manga.select("id", "title"), MAX_TITLES, "manga") if r[0] and r[1] and len(s := squash(r[1])) >= 5}
 
 
-def is_header(line: str, title: str | None, most_rest: int = 40) -> bool:
-    """Whether a line is the running header that carries ``title`` (squashed)."""
-    if not title or len(line) > 160:
+HEADER_BEFORE = re.compile(r"^(?:\d+|(?:chapter|ch|volume|vol|episode|ep)\d+)+")
+HEADER_AFTER = re.compile(r"(?:(?:chapter|ch|volume|vol|episode|ep|page|p)?\d+)+$")
+
+
+def is_header(line: str, title: str | None, known: frozenset[str] | set[str] = frozenset(), most_rest: int = 40) -> bool:
+    """Whether a line is a running header: the text's own ``title`` or one of the ``known`` ones (all squashed) with
+    nothing but chapter, number and presenter around it."""
+    if len(line) > 160:
         return False
     flat = squash(line)
-    at = flat.find(title)
-    if at < 0:
-        return False
-    rest = flat[:at] + flat[at + len(title) :]
-    return len(rest) <= most_rest and (bool(HEADER_REST.match(rest)) or (rest.endswith("presents") or "presents" in flat[:at]) or len(rest) <= 6)
+    if title:
+        at = flat.find(title)
+        if at >= 0:
+            rest = flat[:at] + flat[at + len(title) :]
+            if len(rest) <= 6 or (len(rest) <= most_rest and (HEADER_REST.match(rest) or flat[:at].endswith("presents"))):
+                return True
+    if known:
+        core = HEADER_AFTER.sub("", HEADER_BEFORE.sub("", flat))
+        return core in known or ("presents" in core and core.partition("presents")[2] in known)
+    return False
 
 
 def is_page_number(line: str) -> bool:
     return bool(PAGE_NUMBER.match(line)) or (len(line.strip()) >= 1 and bool(ROMAN.match(line)))
 
 
-def body_lines(text: str, title: str | None) -> list[str]:
+def body_lines(text: str, title: str | None, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
     """The lines without headers and page numbers at the edges of the text."""
     lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
-    while lines and (is_header(lines[0], title) or is_page_number(lines[0])):
+    while lines and (is_header(lines[0], title, known) or is_page_number(lines[0])):
         lines.pop(0)
-    while lines and (is_header(lines[-1], title) or (is_page_number(lines[-1]) and _ends(lines[-2:-1]))):
+    while lines and (is_header(lines[-1], title, known) or (is_page_number(lines[-1]) and _ends(lines[-2:-1]))):
         lines.pop()
     return lines
 

@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from komagrid.llm import codepoints, lang, langid, mixing, packing, residue, survivors
+from komagrid.llm import codepoints, lang, langid, lines, mixing, packing, pairs, residue, survivors
 from komagrid.session import table
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    regions = table(spark, folder, "region_info").select(
+        F.lit("region_info").alias("record_kind"), F.col("region_id").alias("record_id"), F.col("text").alias("source"), "translation", "target_lang", "manga_id"
+    )
+    history = table(spark, folder, "context_history").select(
+        F.lit("context_history").alias("record_kind"), F.col("history_id").alias("record_id"), "source", "translation", "target_lang", F.lit(None).cast("string").alias("manga_id")
+    )
+    return regions.unionByName(history)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    dictionaries = lang.fit(table(spark, folder, "documents"))
+    return pairs.defects(_pairs(spark, folder), dictionaries, lines.titles(table(spark, folder, "manga")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
     left_out = residue.residue(documents.select("doc_id", "text"))
