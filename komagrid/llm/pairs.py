@@ -101,7 +101,10 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
                     if got is None:
                         words = WORD.findall(s)
                         every = [b for i in range(len(words)) for b in _context(words, i)]
-                        final = list(_context(words, len(words) - 1)) if lang.ENDS.search(s) and not UNFINISHED.search(s) else []
+                        if all(SOUND.match(w) for w in words):
+                            every, final = [], []
+                        else:
+                            final = list(_context(words, len(words) - 1)) if lang.ENDS.search(s) and not UNFINISHED.search(s) else []
                         if len(seen) >= lang.MEMO:
                             seen.clear()
                         got = seen[s] = ([b + BUCKETS * (k % 2) for k, b in enumerate(every)], [b + BUCKETS * (k % 2) for k, b in enumerate(final)])
@@ -181,7 +184,7 @@ class Judge:
             return 0
         if len(words) == 1:
             cjk = lines.CJK.match(flat)
-            if cjk and len(flat) > 6 and not re.fullmatch("[ァ-ヺー]+", flat):
+            if cjk and len(flat) > 4 and not re.fullmatch("[ァ-ヺー]+", flat):
                 return 2
             return 1 if flat.replace("-", "").replace("'", "").casefold() in self.said else 0
         stem = {w[2:] if w[1:2] == "-" else w for w in words}
@@ -223,7 +226,7 @@ class Judge:
                 return True
             if s_ends:
                 return not (share >= 0.5 and n >= 5 and not fewer and length > 0.7)
-            return (share < 0.2 and (length < 0.85 or n < 2)) or (fewer and length < 0.8)
+            return (share < 0.2 and length < (0.92 if n < 2 else 0.85)) or (fewer and length < 0.8)
         if t_open and not s_open:
             return not (share >= 0.5 and n >= 5 and not fewer and length > 0.6)
         if fewer and length < 0.87:
@@ -242,12 +245,12 @@ class Judge:
         flat = lines.squash(stripped)
         if not flat or flat in STAND_INS:
             return "empty"
-        t_body, t_parts = _parts(stripped, title, self.known)
+        t_body, t_parts = _parts(DRESS.sub("", stripped), title, self.known)
         if not t_parts:
             return "empty" if content == 2 else None
         if self.refusal(t_body) and not self.refusal(body):
             return "refusal"
-        s_flat, t_flat = lines.squash(body), lines.squash(DRESS.sub("", t_body))
+        s_flat, t_flat = lines.squash(body), lines.squash(t_body)
         same_script = _script(body) == _script(t_body)
         if same_script and len(t_flat) >= 4:
             if t_flat == s_flat or (len(s_flat) >= 6 and s_flat in t_flat and len(s_flat) >= 0.6 * len(t_flat)):
