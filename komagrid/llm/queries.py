@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from komagrid.llm import codepoints, lang, langid, lines, mixing, packing, pairs, residue, survivors
+from komagrid.llm import codepoints, lang, langid, lines, mixing, packing, pairs, residue, scan, survivors
 from komagrid.session import table
 
 
@@ -38,6 +38,15 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
     return langid.segments(documents, lang.fit(documents))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.find(table(spark, folder, "region_info"), lines.titles(table(spark, folder, "manga")))
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Both texts of every region as continuous paragraphs."""
+    return scan.repaired(table(spark, folder, "region_info"), lines.titles(table(spark, folder, "manga")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "context_names")
     of_names = names.select("name_id", "source").unionByName(names.select("name_id", F.col("target").alias("source")))
