@@ -13,9 +13,16 @@ placeholder, filler; repeated rows of a document count once; texts are read whol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from komagrid.session import cut
+
 KINDS = ("error_page", "script_notice", "placeholder", "filler")
 
 NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}?"
@@ -26,129 +33,183 @@ SURE_SLOTS = (
     r"\[(?:INSERT|ENTER|ADD|Insert|Enter|Add|insert) [^\[\]\n]{1,40}\]", r"[\[<{(](?:Your|YOUR|your) [^\[\]\n<>{}()]{1,30}[\]>})]", r"\[(?:TBD|TBA|TODO|PLACEHOLDER|TITLE|NAME|DATE)\]",
 )
 MAYBE_SLOTS = (r"\{[A-Za-z][A-Za-z0-9_.]{1,30}\}", r"<[A-Za-z][A-Za-z0-9_.]{1,30}>", r"\[[a-z]+(?:[_.][a-z]+)+\]", r"(?<![\w_])_{4,}(?![\w_])", r"\[\s{1,12}\]")
-SLOT = "(?:" + "|".join((*SURE_SLOTS, *MAYBE_SLOTS)) + ")"
+SLOT = re.compile("|".join((*SURE_SLOTS, *MAYBE_SLOTS)))
+SURE = re.compile("^(?:" + "|".join(SURE_SLOTS) + ")$")
+SLOT_SIGNS = ("{", "%", "[", "<", "@@", "__", "(")
 
 # How script notices speak, in the languages of the corpus.
-SCRIPT_WORDS = r"(?i)javascript|java script|ジャバスクリプト|자바스크립트|джаваскрипт|\bscripts? (?:and cookies )?(?:to be |must be |has to be |need to be )?(?:turned on|allowed|enabled|on\b)|\b(?:allow|enable|block) (?:scripts?|them)\b|<noscript"
+SCRIPT_WORDS = r"javascript|java script|ジャバスクリプト|자바스크립트|джаваскрипт|\bscripts? (?:and cookies )?(?:to be |must be |has to be |need to be )?(?:turned on|allowed|enabled|on\b)|\b(?:allow|enable|block) (?:scripts?|them)\b|<noscript"
 SCRIPT_ASK = (
-    r"(?i)enabl|turn(?:ed)? (?:it )?on|allow|disabled|require|need|bật|activ|habilit|ative|aktivier|abilita|aktifkan|nyalakan|включ|有効|启用|開啟|打开|켜|active[rz]|atver"
+    r"enabl|turn(?:ed)? (?:it )?on|allow|disabled|require|need|bật|activ|habilit|ative|aktivier|abilita|aktifkan|nyalakan|включ|有効|启用|開啟|打开|켜|active[rz]|atver"
 )
 # How error pages open, in the languages of the corpus.
 ERROR_WORD = r"(?:error|http error|fehler|erreur|errore|erro|error de servidor|lỗi|galat|kesalahan|ошибка|エラー|错误|錯誤|오류|에러)"
 ERROR_OPENINGS = (
-    rf"(?i)^{ERROR_WORD}\s*:?\s*[1-5]\d\d\b", rf"(?i)^{ERROR_WORD}\s*[:：]\s*\S",
-    r"(?i)^(?:http\s*)?[45]\d\d[ :：\-–—]+(?:not found|forbidden|bad gateway|bad request|internal server|service|gateway|unauthorized|gone|too many|server error|error|page|access|payment|method|request|proxy|conflict|length|precondition|unavailable|temporarily)",
-    r"(?i)^(?:the )?(?:service|server|site|website|page|servizio|servicio|serviço|service|dienst|der dienst|layanan|dịch vụ|сервис|сайт|сервер|сервис)\b[^.!?\n]{0,30}?\b(?:temporarily|unavailable|not available|indisponible|no disponible|non disponibile|indisponível|nicht verfügbar|nicht erreichbar|tidak tersedia|không khả dụng|недоступен|недоступна|under maintenance|down for|is down|overloaded|busy|timed out)",
-    r"(?i)^(?:access denied|forbidden|permission denied|too many requests|bad gateway|gateway time|internal server error|page not found|not found|request timed? ?out|connection (?:timed|reset|refused)|this page (?:isn|has wandered|can(?:'|no)|could|does|doesn)|the page you (?:requested|are looking|were looking)|the requested (?:url|page)|oops[!.,]|sorry, (?:the|this) page|we can(?:'|no)t find (?:the|that) page|rate limit|something went wrong|an (?:unexpected |internal )?error (?:has )?occurred|página no encontrada|pagina non trovata|page introuvable|seite nicht gefunden|página não encontrada|halaman tidak ditemukan|không tìm thấy trang|страница не найдена|доступ запрещ|acceso denegado|accès refusé|zugriff verweigert|accesso negato|acesso negado|akses ditolak|truy cập bị từ chối)",
-    r"(?i)^(?:máy chủ|server (?:sedang|đang)|sunucu|der server|le serveur|il server|el servidor|o servidor|сервер)\b[^\n]{0,60}(?:bảo trì|pemeliharaan|sibuk|wartung|überlastet|maintenance|manutenzione|mantenimiento|manutenção|обслуживани|перегруж|lại sau|later|später|lagi nanti|plus tard|più tardi|más tarde|mais tarde|позже)",
+    rf"^{ERROR_WORD}\s*:?\s*[1-5]\d\d\b", rf"^{ERROR_WORD}\s*[:：]\s*\S",
+    r"^http(?:/[\d.]+)?\s*[45]\d\d\b", r"^(?:http\s*)?[45]\d\d[ :：\-–—]+(?:not found|forbidden|bad gateway|bad request|internal server|service|gateway|unauthorized|gone|too many|server error|error|page|access|payment|method|request|proxy|conflict|length|precondition|unavailable|temporarily)",
+    r"^(?:the )?(?:service|server|site|website|page|servizio|servicio|serviço|service|dienst|der dienst|layanan|dịch vụ|сервис|сайт|сервер|сервис)\b[^.!?\n]{0,30}?\b(?:temporarily|unavailable|not available|indisponible|no disponible|non disponibile|indisponível|nicht verfügbar|nicht erreichbar|tidak tersedia|không khả dụng|недоступен|недоступна|under maintenance|down for|is down|overloaded|busy|timed out)",
+    r"^(?:access denied|forbidden|permission denied|too many requests|bad gateway|gateway time|internal server error|page not found|not found|request timed? ?out|connection (?:timed|reset|refused)|this page (?:isn'?t (?:available|working)|has wandered|can(?:'|no)t be (?:reached|found|displayed|loaded)|could not be|does(?:n't| not) exist|no longer exists)|the page you (?:requested|are looking|were looking)|the requested (?:url|page)|oops[!.,][^\n]{0,30}\b(?:page|site|error|went wrong)\b|sorry, (?:the|this) page|we can(?:'|no)t find (?:the|that) page|rate limit|something went wrong|an (?:unexpected |internal )?error (?:has )?occurred|página no encontrada|pagina non trovata|page introuvable|seite nicht gefunden|página não encontrada|halaman tidak ditemukan|không tìm thấy trang|страница не найдена|доступ запрещ|acceso denegado|accès refusé|zugriff verweigert|accesso negato|acesso negado|akses ditolak|truy cập bị từ chối)",
+    r"^(?:máy chủ|server (?:sedang|đang)|sunucu|der server|le serveur|il server|el servidor|o servidor|сервер)\b[^\n]{0,60}(?:bảo trì|pemeliharaan|sibuk|wartung|überlastet|maintenance|manutenzione|mantenimiento|manutenção|обслуживани|перегруж|lại sau|later|später|lagi nanti|plus tard|più tardi|más tarde|mais tarde|позже)",
     r"^(?:ただいま)?サーバー[^\n]{0,40}(?:混み合|メンテナンス|エラー|応答)", r"^お探しのページ", r"^(?:ただいま)?メンテナンス中", r"^アクセス(?:が)?(?:拒否|できません)", r"^ページが(?:見つかりません|表示できません)",
     r"^服务器[^\n]{0,30}(?:忙|维护|错误|稍后|无响应)", r"^(?:您|你)(?:访问|请求|要找)的(?:页面|网页)", r"^(?:访问被拒绝|页面不存在|网站正在维护|系统维护|服务暂时不可用|服务不可用|请求过多)",
     r"^서버[^\n]{0,30}(?:점검|오류|응답|혼잡)", r"^(?:요청하신|찾으시는) 페이지", r"^(?:접근이 거부|접속이 거부|페이지를 찾을 수 없|서비스(?:를|가)? ?(?:일시|이용))", r"^(?:Сервис|Сайт|Страница)[^\n]{0,30}(?:недоступ|не найден|обслуживани)",
 )
-ERROR_LOOSE = r"(?i)\b[45]\d\d\b|error|fehler|erreur|erro\b|errore|galat|lỗi|ошибк|エラー|错误|오류|unavailable|disponib|dispon[ií]vel|verfügbar|недоступ|not found|gefunden|encontrad|trovat|introuvable|ditemukan|tìm thấy|見つかりません|不存在|찾을 수|denied|try again|retry|reload|maintenance|bảo trì|점검|混み合|server|サーバー|服务器|서버|сервер|rate limited"
+ERROR_LOOSE = r"\b[45]\d\d\b|error|fehler|erreur|erro\b|errore|galat|lỗi|ошибк|エラー|错误|오류|unavailable|disponib|dispon[ií]vel|verfügbar|недоступ|not found|gefunden|encontrad|trovat|introuvable|ditemukan|tìm thấy|見つかりません|不存在|찾을 수|denied|try again|retry|reload|maintenance|bảo trì|점검|混み合|server|サーバー|服务器|서버|сервер|rate limited"
 
 # Stand-in phrases.
 FILLER_LINES = (
-    r"(?i)^(?:your |the |some |a |my )?[\p{L}' ]{1,30} (?:goes|go|comes|will go|to go) here\b", r"(?i)^(?:your|sample|dummy|placeholder|example|filler) (?:text|content|title|description|copy)\b[^.!?]{0,20}(?:here)?[.!]?",
-    r"(?i)^(?:write|add|put|insert|enter|type|describe)\b[^.!?]{0,60}\b(?:here|for this (?:series|chapter|page|volume|manga|title))\s*[.!]?", r"(?i)\blorem ipsum\b",
-    r"(?i)^(?:this is (?:a |an |some )?)?(?:placeholder|dummy|sample|filler|test) (?:text|content|paragraph)\b", r"(?i)^\S{1,4}(?:asdf|qwer|zxcv|hjkl)\S*$", r"(?i)\b(?:asdf|qwerty|zxcv|hjkl)[a-z]*\b.*\b(?:asdf|qwer|zxcv|hjkl)[a-z]*\b",
-    r"(?i)^(\p{L}{1,12})(?:[^\p{L}\p{N}]+\1){2,}[^\p{L}\p{N}]*$",
+    r"^(?:your |the |some |a |my )?(?:[^\W\d_]|[' ]){1,30} (?:goes|go|comes|will go|to go) here\b", r"^(?:your|sample|dummy|placeholder|example|filler) (?:text|content|title|description|copy)\b[^.!?]{0,20}(?:here)?[.!]?",
+    r"^(?:write|add|put|insert|enter|type|describe)\b[^.!?]{0,60}\b(?:here|for this (?:series|chapter|page|volume|manga|title))\s*[.!]?", r"\blorem ipsum\b",
+    r"^(?:this is (?:a |an |some )?)?(?:placeholder|dummy|sample|filler|test) (?:text|content|paragraph)\b", r"^\S{1,4}(?:asdf|qwer|zxcv|hjkl)\S*$", r"\b(?:asdf|qwerty|zxcv|hjkl)[a-z]*\b.*\b(?:asdf|qwer|zxcv|hjkl)[a-z]*\b",
+    r"^([^\W\d_]{1,12})(?:[\W_]+\1){2,}[\W_]*$",
 )
-FILLER_DEFAULT = r"(?i)^[\p{L}\p{N} ]{1,30}[:：]\s*(?:TBD|TBA|TODO|FIXME|XXX+|to be (?:added|written|announced|done|filled in))\.?$"
+FILLER_DEFAULT = r"^[\w ]{1,30}[:：]\s*(?:TBD|TBA|TODO|FIXME|XXX+|to be (?:added|written|announced|done|filled in))\.?$"
 # Words of the usual Latin stand-in text, the seed of its vocabulary.
 SEED_WORDS = ("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip"
               " commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa"
               " officia deserunt mollit anim vestibulum pellentesque curabitur praesent vivamus maecenas phasellus suspendisse nullam quam erat orci tellus mauris").split()
 SURE_SEEDS = tuple(w for w in SEED_WORDS if w not in ("sed", "esse", "non", "sint", "sunt", "quam", "culpa", "anim"))
-MAX_FILLER_WORDS = 50_000
-
-
-def any_of(patterns: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.filter(F.transform(F.split("text", "[\\r\\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0).alias("lines"))
-
-
-def _speech(line: Column) -> Column:
-    """A line of a transcript without the speaker's name."""
-    return F.regexp_replace(line, "^[^\\s:：]{1,16}[:：]\\s*(?=\\S{3})", "")
 
 
-def slots(docs: DataFrame) -> DataFrame:
-    """(doc_id, slot, name, sure, around): every delimited token with its surroundings."""
-    marked = docs.where(F.col("text").rlike(SLOT)).select("doc_id", "text")
-    token = marked.select("doc_id", F.explode(F.expr(f"regexp_extract_all(text, '(?s)(.{{0,12}})({SLOT_SQL})(.{{0,12}})', 0)")).alias("around"))
-    token = token.withColumn("slot", F.regexp_extract("around", SLOT, 0))
-    name = F.lower(F.regexp_replace(F.regexp_replace("slot", r"(?i)^\W*(?:insert|enter|add|your)\s+|\s+here\W*$|^_+|_+$|\)[sd]$", ""), r"[^\p{L}\p{N}]+", ""))
-    sure = F.col("slot").rlike("^(?:" + "|".join(SURE_SLOTS) + ")$")
-    dotted = F.col("slot").rlike(r"^\W?[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\W?$")
-    blank = F.col("slot").rlike(r"^_{4,}$|^\[\s+\]$")
-    around = F.regexp_replace(F.regexp_replace("around", SLOT, "\u0001"), r"\p{N}+", "#")
-    return token.withColumns({"name": name, "sure": sure | dotted | blank, "around": around})
-
-
-SLOT_SQL = SLOT.replace("\\", "\\\\").replace("'", "\\'")
-
-
-def placeholders(docs: DataFrame) -> DataFrame:
+def any_of(patterns: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?:{p})" for p in patterns), re.IGNORECASE)
+
+
+SCRIPT, ASK, OPENING, LOOSE = any_of((SCRIPT_WORDS,)), any_of((SCRIPT_ASK,)), any_of(ERROR_OPENINGS), any_of((ERROR_LOOSE,))
+PHRASE, DEFAULT = any_of(FILLER_LINES), any_of((FILLER_DEFAULT,))
+# What a text must hold (in lower case) for its lines to be looked at.
+LINE_SIGNS = ("script", "スクリプト", "스크립트", "скрипт", "error", "fehler", "erreur", "erro", "galat", "kesalahan", "lỗi", "ошибк", "エラー", "错误", "錯誤", "오류", "에러", "unavailable", "available", "disponib", "indispon", "verfügbar", "erreichbar",
+              "недоступ", "not found", "gefunden", "encontrad", "trovat", "introuvable", "ditemukan", "tìm thấy", "見つかりません", "不存在", "찾을 수", "denied", "refusé", "verweigert", "negado", "negato", "ditolak", "từ chối", "запрещ", "拒",
+              "try again", "retry", "reload", "maintenance", "bảo trì", "점검", "メンテナンス", "维护", "混み合", "server", "máy chủ", "サーバー", "服务器", "서버", "сервер", "сервис", "rate limit", "too many requests", "gateway", "forbidden", "timed out", "timeout",
+              "time out", "overloaded", "oops", "went wrong", "this page", "the page", "requested url", "can't find that page", "页面", "ページが", "お探しのページ", "페이지", "layanan", "dienst", "dịch vụ", "tersedia", "khả dụng")
+FILLER_SIGNS = ("here", "text", "content", "placeholder", "dummy", "filler", "sample", "write ", "add ", "put ", "insert ", "enter ", "type ", "describe ", "lorem", "asdf", "qwer", "zxcv", "hjkl", "tbd", "tba", "todo", "fixme", "xxx", "to be ", "paragraph")
+SPEAKER = re.compile(r"^[^\s:：]{1,16}[:：]\s*(?=\S{3})")
+SLOT_TRIM = re.compile(r"^\W*(?:insert|enter|add|your)\s+|\s+here\W*$|^_+|_+$|\)[sd]$", re.IGNORECASE)
+DOTTED = re.compile(r"^\W?[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\W?$")
+BLANK = re.compile(r"^_{4,}$|^\[\s+\]$")
+NOT_ALNUM = re.compile(r"[\W_]+")
+DIGITS = re.compile(r"\d+")
+SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
+LATIN = re.compile(r"[a-z]+")
+SEEDS = frozenset(SURE_SEEDS)
+COLUMNS = "doc_id string, kind string, value string, around string, sure boolean, n_seeds int, words array<string>"
+
+
+class Scanner:
+    """Takes what may be residue out of a text; made once per task."""
+
+    def __init__(self) -> None:
+        self.signs = ahocorasick.Automaton()
+        for word, what in (*((w, 1) for w in LINE_SIGNS), *((w, 2) for w in FILLER_SIGNS), *((w, 4) for w in SURE_SEEDS)):
+            self.signs.add_word(word, what | (self.signs.get(word) if word in self.signs else 0))
+        self.signs.make_automaton()
+
+    def __call__(self, text: str) -> Iterator[tuple]:
+        """(kind, value, around, sure, n_seeds, words) of each find."""
+        if any(sign in text for sign in SLOT_SIGNS):
+            for m in SLOT.finditer(text):
+                slot = m.group()
+                name = NOT_ALNUM.sub("", SLOT_TRIM.sub("", slot)).lower()
+                around = DIGITS.sub("#", text[max(0, m.start() - 12) : m.start()]) + "\u0001" + DIGITS.sub("#", text[m.end() : m.end() + 12])
+                yield "slot", name, around, bool(SURE.match(slot) or DOTTED.match(slot) or BLANK.match(slot)), None, None
+        low = text.lower()
+        signs = 0
+        for _, what in self.signs.iter(low):
+            signs |= what
+        parts = [x.strip() for x in re.split(r"[\r\n]+", text)]
+        parts = [x for x in parts if x]
+        defaults = 0
+        for at, line in enumerate(parts):
+            said = SPEAKER.sub("", line)
+            if signs & 1:
+                masked = DIGITS.sub("#", said)
+                alone = len(parts) <= 2 and at == len(parts) - 1
+                if SCRIPT.search(said) and ASK.search(said):
+                    yield "script_notice", masked, None, alone, None, None
+                elif OPENING.search(said):
+                    yield "error_page", masked, None, alone, None, None
+                elif LOOSE.search(said):
+                    yield "line", masked, None, alone, None, None
+            if signs & 2:
+                if PHRASE.search(said):
+                    yield "filler", None, None, True, None, None
+                defaults += bool(DEFAULT.search(line))
+            else:
+                tokens = said.split(None, 3)
+                if len(tokens) >= 3 and tokens[0] == tokens[1] == tokens[2] and PHRASE.search(said):
+                    yield "filler", None, None, True, None, None
+        if defaults >= 2 or (defaults and len(parts) <= 2):
+            yield "filler", None, None, True, None, None
+        if signs & 4:
+            for sentence in SENTENCE.split(low):
+                words = LATIN.findall(sentence)
+                if len(words) >= 4:
+                    seeds = len(SEEDS.intersection(words))
+                    if seeds:
+                        yield "prose", None, None, False, seeds, words
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Everything that may be residue, in one pass over the whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner()
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
+        names = ["doc_id", "kind", "value", "around", "sure", "n_seeds", "words"]
+        for batch in batches:
+            rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in scan(text)]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return docs.mapInArrow(run, COLUMNS)
+
+
+def placeholders(found: DataFrame) -> DataFrame:
     """Documents with a slot that still holds its name, default or blank."""
-    found = slots(docs)
-    known = found.where("sure and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
-    aligned = found.where("not sure").groupBy("around").agg(F.countDistinct("name").alias("fills")).where("fills >= 2")
-    doubtful = found.where("not sure").join(known, "name", "left").join(aligned, "around", "left").where("known or fills >= 2")
-    return found.where("sure").select("doc_id").unionByName(doubtful.select("doc_id"))
+    slots = found.where("kind = 'slot'").select("doc_id", F.col("value").alias("name"), "around", "sure")
+    known = slots.where("sure and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
+    aligned = slots.where("not sure").groupBy("around").agg(F.countDistinct("name").alias("fills")).where("fills >= 2")
+    doubtful = slots.where("not sure").join(known, "name", "left").join(aligned, "around", "left").where("known or fills >= 2")
+    return slots.where("sure").select("doc_id").unionByName(doubtful.select("doc_id"))
 
 
-def pages(docs: DataFrame) -> DataFrame:
+def pages(found: DataFrame) -> DataFrame:
     """(doc_id, residue): error pages and script notices, whole or as a line of a document."""
-    lines = _lines(docs.where(F.col("text").rlike(f"(?:{SCRIPT_WORDS})|(?:{ERROR_LOOSE})")))
-    line = lines.select("doc_id", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line")).withColumn("line", _speech(F.col("line")))
-    script = F.col("line").rlike(SCRIPT_WORDS) & F.col("line").rlike(SCRIPT_ASK)
-    opening = F.col("line").rlike(any_of(ERROR_OPENINGS))
-    line = line.where(F.col("line").rlike(f"(?:{SCRIPT_WORDS})|(?:{ERROR_LOOSE})") | opening).withColumns({"script": script, "opening": opening & ~script})
-    line = line.withColumn("masked", F.regexp_replace(F.col("line"), r"\p{N}+", "#"))
     # whole pages repeat: the template of a line that is mostly seen alone, or below a title
-    alone = (F.col("n_lines") <= 2) & (F.col("at") == F.col("n_lines") - 1)
-    seen = line.where("not script and not opening").groupBy("masked").agg(F.count("*").alias("n"), F.count_if(alone).alias("n_alone"))
-    repeated = seen.where("n_alone >= 2 and n_alone * 10 >= 4 * n").select("masked")
-    strict = line.where("script or opening").select("doc_id", F.when(F.col("script"), "script_notice").otherwise("error_page").alias("residue"))
-    loose = line.where("not script and not opening").join(repeated, "masked", "left_semi").select("doc_id", F.lit("error_page").alias("residue"))
-    return strict.unionByName(loose)
-
-
-def fillers(docs: DataFrame) -> DataFrame:
-    """Documents with stand-in prose: by phrase, by default entries, by the grown vocabulary, or one token repeated."""
-    lines = _lines(docs)
-    phrase = F.exists("lines", lambda x: _speech(x).rlike(any_of(FILLER_LINES)))
-    defaults = F.size(F.filter("lines", lambda x: x.rlike(FILLER_DEFAULT)))
-    by_phrase = lines.where(phrase | (defaults >= 2) | ((defaults == 1) & (F.size("lines") <= 2))).select("doc_id")
-    seeds = "|".join(SURE_SEEDS)
-    seeded = docs.where(F.col("text").rlike(rf"(?i)\b(?:{seeds})\b")).select("doc_id", "text")
-    sentence = seeded.select("doc_id", F.explode(F.split("text", r"[\r\n]+|(?<=[.!?])\s+")).alias("s"))
-    words = F.expr(r"regexp_extract_all(lower(s), '([a-z]+)', 1)")
-    sentence = sentence.withColumn("words", words).where("size(words) >= 4")
-    n_seeds = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in SURE_SEEDS])))
-    sentence = sentence.withColumn("n_seeds", n_seeds)
-    core = F.col("n_seeds") >= 3
-    grown = sentence.select(F.explode(F.array_distinct("words")).alias("w"), core.cast("int").alias("core"), F.col("n_seeds"))
-    grown = grown.groupBy("w").agg(F.sum("core").alias("inside"), F.count("*").alias("n")).where("inside >= 1 and inside * 10 >= n * 4").select("w")
-    each = sentence.select("doc_id", F.hash("s").alias("h"), F.size("words").alias("n"), "n_seeds", F.explode("words").alias("w"))
-    known = each.join(grown, "w").groupBy("doc_id", "h", "n", "n_seeds").count().where("count * 10 >= n * 7 and n_seeds >= 1")
-    return by_phrase.unionByName(known.select("doc_id"))
+    loose = found.where("kind = 'line'")
+    seen = loose.groupBy("value").agg(F.count("*").alias("n"), F.count_if("sure").alias("n_alone"))
+    repeated = seen.where("n_alone >= 2 and n_alone * 10 >= 4 * n").select("value")
+    strict = found.where("kind in ('script_notice', 'error_page')").select("doc_id", F.col("kind").alias("residue"))
+    return strict.unionByName(loose.join(repeated, "value", "left_semi").select("doc_id", F.lit("error_page").alias("residue")))
+
+
+def fillers(found: DataFrame) -> DataFrame:
+    """Documents with stand-in prose: by phrase, by default entries, or by a vocabulary grown from its seeds.
+
+    A word belongs to it if four tenths of its sentences that hold a seed hold three; a sentence is stand-in prose if
+    seven tenths of its words belong to it.
+    """
+    prose = found.where("kind = 'prose'").withColumn("sentence", F.monotonically_increasing_id())
+    core = (F.col("n_seeds") >= 3).cast("int")
+    grown = prose.select(F.explode(F.array_distinct("words")).alias("w"), core.alias("core")).groupBy("w").agg(F.sum("core").alias("inside"), F.count("*").alias("n"))
+    grown = grown.where("inside >= 1 and inside * 10 >= n * 4").select("w")
+    each = prose.select("doc_id", "sentence", F.size("words").alias("n"), F.explode("words").alias("w"))
+    known = each.join(grown, "w").groupBy("doc_id", "sentence", "n").count().where("count * 10 >= n * 7")
+    return found.where("kind = 'filler'").select("doc_id").unionByName(known.select("doc_id"))
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, residue): the documents that hold residue, with its one kind."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    found = (
-        pages(docs)
-        .unionByName(placeholders(docs).withColumn("residue", F.lit("placeholder")))
-        .unionByName(fillers(docs).withColumn("residue", F.lit("filler")))
+    kind = docs.schema[doc_id].dataType
+    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    found = cut(candidates(source))
+    every = (
+        pages(found)
+        .unionByName(placeholders(found).withColumn("residue", F.lit("placeholder")))
+        .unionByName(fillers(found).withColumn("residue", F.lit("filler")))
     )
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("residue"))
-    return found.groupBy("doc_id").agg(F.min_by("residue", rank).alias("residue")).withColumnRenamed("doc_id", doc_id)
+    return every.groupBy("doc_id").agg(F.min_by("residue", rank).alias("residue")).select(F.col("doc_id").cast(kind).alias(doc_id), "residue")
 
 
 def without_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
