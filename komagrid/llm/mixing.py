@@ -43,12 +43,12 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: what it should give and can give, and in which bucket its fraction ends."""
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    total = by_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("total_tokens"))
+    total = by_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("total_tokens")).withColumn("_one", F.lit(1))
     wanted = targets.select(
-        "mix_name", "source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")
+        "mix_name", "source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.lit(1).alias("_one")
     )
-    # total is one row by its nature: a scalar joined to a dimension
-    mix = wanted.join(by_source, "source", "left").join(F.broadcast(total)).withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
+    # the total is one row by its nature
+    mix = wanted.join(by_source, "source", "left").join(F.broadcast(total), "_one").drop("_one").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
     target = F.col("weight") * F.col("total_tokens")
     most = F.col("max_repeats") * F.col("source_tokens")
     mix = mix.withColumn("target_tokens", target).withColumn("capped", target > most).withColumn("budget", F.least(target, most.cast("double")))
