@@ -1,54 +1,30 @@
-"""The states of jobs as a stream: one keyed state per job, cleared once it is final."""
+"""The states of jobs as a stream: one aggregate per job, kept inside the JVM's state store.
 
-from __future__ import annotations
+A final state stays: the first of done, error or cancelled counts, whatever comes after it; until then the last event does.
+"""
 
-from collections.abc import Iterator
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 FINAL = ("done", "error", "cancelled")
-# Which state may follow which.
-NEXT = {
-    None: ("queued", "running", *FINAL), "queued": ("running", *FINAL), "running": ("running", *FINAL),
-}
-OUTPUT = "job_id string, status string, n_done int, n_failed int, finished boolean"
-STATE = "status string, n_done int, n_failed int"
-
-
-def step(status: str | None, event: str) -> str | None:
-    """The state after an event; a final state stays, an event out of place changes nothing."""
-    if status in FINAL:
-        return status
-    return event if event in NEXT.get(status, ()) else status
-
-
-def _update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        status, done, failed = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], "error" if status not in FINAL else status, done, failed, True)], columns=["job_id", "status", "n_done", "n_failed", "finished"])
-        return
-    status, done, failed = state.get if state.exists else (None, 0, 0)
-    for rows in batches:
-        for event in rows.sort_values("seq")["event"]:
-            if event == "page_done":
-                done += 1
-            elif event == "page_failed":
-                failed += 1
-            else:
-                status = step(status, event)
-    if status in FINAL:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((status, done, failed))
-        state.setTimeoutDuration(6 * 3600 * 1000)
-    yield pd.DataFrame([(key[0], status, done, failed, status in FINAL)], columns=["job_id", "status", "n_done", "n_failed", "finished"])
-
-
-def job_states(events: DataFrame) -> DataFrame:
-    """Each job's state after every batch of events (job_id, seq, event): statuses, 'page_done' and 'page_failed'."""
-    return events.groupBy("job_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+STATES = ("queued", "running", *FINAL)
+
+
+def job_states(events: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each job's state and page counts after every batch of events (job_id, seq, event), in update mode.
+
+    Events are states, 'page_done' and 'page_failed'. With a ``time`` column events come in windows of a day, and
+    those older than ``late`` are dropped with their state; without one the state of every job is kept.
+    """
+    keys = ["job_id"]
+    if time:
+        events = events.withWatermark(time, late).withColumn("day", F.window(time, "1 day"))
+        keys.append("day")
+    is_state, is_final = F.col("event").isin(*STATES), F.col("event").isin(*FINAL)
+    states = events.groupBy(*keys).agg(
+        F.coalesce(F.min_by("event", F.when(is_final, F.col("seq"))), F.max_by("event", F.when(is_state, F.col("seq")))).alias("status"),
+        F.count_if(F.col("event") == "page_done").alias("n_done"), F.count_if(F.col("event") == "page_failed").alias("n_failed"),
+    )
+    return states.select("job_id", "status", "n_done", "n_failed", F.coalesce(F.col("status").isin(*FINAL), F.lit(False)).alias("finished"))

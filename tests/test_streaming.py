@@ -1,16 +1,9 @@
 from komagrid.streaming import jobs
 
 
-def test_steps():
-    assert jobs.step(None, "queued") == "queued"
-    assert jobs.step("queued", "running") == "running"
-    assert jobs.step("running", "queued") == "running"
-    assert jobs.step("done", "running") == "done"
-
-
 def test_states_of_a_stream(spark, tmp_path):
     first = [("a", 0, "queued"), ("a", 1, "running"), ("a", 2, "page_done"), ("b", 0, "queued")]
-    second = [("a", 3, "page_failed"), ("a", 4, "done"), ("b", 1, "cancelled")]
+    second = [("a", 3, "page_failed"), ("a", 4, "done"), ("b", 1, "cancelled"), ("b", 2, "running")]
     schema = "job_id string, seq int, event string"
     folder = str(tmp_path / "events")
     spark.createDataFrame(first, schema).coalesce(1).write.parquet(folder)
