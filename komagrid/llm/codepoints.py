@@ -41,6 +41,7 @@ LATIN, CYRILLIC, GREEK, KATAKANA, HIRAGANA, HAN, HANGUL = (1 << i for i in range
 MARK, LETTER, DIGIT = 1 << 7, 1 << 8, 1 << 9
 L_JAMO, V_JAMO, T_JAMO = 1 << 10, 1 << 11, 1 << 12
 DISTINCT = 1 << 13  # a letter that no other script has in the same shape
+SPECIAL, EXPANDS, JOINS, ALIKE, KANA_ALIKE = (1 << i for i in range(5))
 
 
 @lru_cache(maxsize=1)
@@ -124,11 +125,17 @@ def tables() -> dict[str, np.ndarray]:
     for a, b in HAN_KATAKANA.items():
         to_katakana[ord(a)] = ord(b)
         to_han[ord(b)] = ord(a)
+    # one byte per code point says which steps a batch needs at all
+    flags = (width | invisible | space).astype(np.uint8) * SPECIAL
+    flags |= (extra > 0).astype(np.uint8) * EXPANDS
+    flags |= ((kind & (MARK | V_JAMO)) > 0).astype(np.uint8) * JOINS
+    flags |= (((kind & (CYRILLIC | GREEK)) > 0) | (to_katakana > 0)).astype(np.uint8) * ALIKE
+    flags |= (to_han > 0).astype(np.uint8) * KANA_ALIKE
     return {
         "kind": kind, "plain": plain, "width": width, "invisible": invisible, "space": space, "ccc": ccc,
         "pairs": np.array(pairs, np.int64)[order], "composed": np.array(composed, np.uint32)[order],
         "extra": extra, "expand": expand, "to_latin": to_latin, "to_cyrillic": to_cyrillic, "to_greek": to_greek,
-        "to_katakana": to_katakana, "to_han": to_han, "special": width | invisible | space,
+        "to_katakana": to_katakana, "to_han": to_han, "flags": flags,
     }
 
 
@@ -181,6 +188,8 @@ def _compose(points: np.ndarray, begins: np.ndarray, was_mark: np.ndarray, forms
     """Put marks and jamo together with their base until nothing composes any more."""
     t = tables()
     kind, ccc = t["kind"], t["ccc"]
+    if not ((kind[points] & (MARK | V_JAMO | T_JAMO)) > 0).any():
+        return points, begins
     for _ in range(6):  # canonical order: a mark may pass one of a higher class
         c = ccc[points]
         swap = np.flatnonzero((c[:-1] > c[1:]) & (c[1:] > 0))
@@ -304,8 +313,11 @@ def unify(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = points.copy()
     if not len(points):
         return points, begins, forms
-    was_mark = (t["kind"][points] & (MARK | V_JAMO | T_JAMO)) > 0
-    if t["special"][points].any():
+    steps = int(np.bitwise_or.reduce(t["flags"][points]))
+    if not steps:
+        return points, begins, forms
+    was_mark = (t["kind"][points] & (MARK | V_JAMO | T_JAMO)) > 0 if steps & JOINS else np.zeros(len(points), bool)
+    if steps & SPECIAL:
         _flag(forms, t["width"][points], begins, WIDTH)
         _flag(forms, t["space"][points], begins, SPACE)
         gone = t["invisible"][points]
@@ -314,8 +326,8 @@ def unify(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             begins = _keep(~gone, begins)
             points, was_mark = points[~gone], was_mark[~gone]
         points = t["plain"][points]
-    extra = t["extra"][points]
-    if extra.any():
+    if steps & EXPANDS:
+        extra = t["extra"][points]
         at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(1 + extra, out=at[1:])
         wide = np.repeat(points, 1 + extra)
@@ -325,9 +337,10 @@ def unify(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for i, c in enumerate(to):
                 wide[where + i] = ord(c)
         points, begins = wide, at[begins]
-    if ((t["kind"][points] & (MARK | V_JAMO)) > 0).any():
+    if steps & (JOINS | SPECIAL):
         points, begins = _compose(points, begins, was_mark, forms)
-    points = _lookalikes(points, begins, forms)
+    if steps & (ALIKE | KANA_ALIKE):
+        points = _lookalikes(points, begins, forms)
     return points, begins, forms
 
 

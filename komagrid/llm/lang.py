@@ -57,7 +57,9 @@ BY_SCRIPT = {
 
 SPEAKER = re.compile(r"^[^\s:：]{1,16}[:：]\s*(?=\S)")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])[」』”）]*\s*|(?<=…)(?=[぀-鿿가-힣])")
-ENDS = re.compile(r"[.!?…。！？][\"'»”’)\]」』）]*\s*$")
+CLOSING = " \t\r\n\"'»”’)]」』）"
+FULL = frozenset(".!?…。！？")
+NOT_LATIN = re.compile("[Ѐ-ӿ぀-ヿ㐀-鿿가-힣]")
 DIGITS = re.compile(r"\d+")
 UNWORD = re.compile(r"[^\w'’]+|[\d_]+")
 
@@ -69,6 +71,24 @@ def canonical_label(label: Column) -> Column:
     return F.try_element_at(known, base)
 
 
+def ends(text: str) -> bool:
+    """Whether a text ends like a sentence."""
+    return text.rstrip(CLOSING)[-1:] in FULL
+
+
+def script_of(text: str) -> str:
+    """The script of most letters; kana makes a text Japanese where it has its share."""
+    if text.isascii() or not NOT_LATIN.search(text):
+        return "latin"
+    found = [(name, r) for name, r in SCRIPTS if r.search(text)]
+    if len(found) == 1:
+        return found[0][0]
+    counts = {name: len(r.findall(text)) for name, r in found}
+    if counts.get("kana", 0) * 8 >= counts.get("han", 0) and counts.get("kana", 0) + counts.get("han", 0) >= max(counts.get("latin", 0), counts.get("hangul", 0), counts.get("cyrillic", 0)) and "kana" in counts:
+        return "kana"
+    return max(counts, key=counts.get)
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of one paragraph (a line of a document, or a region with its lines joined)."""
     return [s for s in SENTENCE.split(text) if s]
@@ -153,14 +173,9 @@ class Classifier:
 
     @staticmethod
     def candidates(text: str) -> tuple[str, ...]:
-        if text.isascii():
-            return BY_SCRIPT["latin"]
-        counts = {name: len(r.findall(text)) for name, r in SCRIPTS}
-        if counts["kana"] and counts["kana"] * 8 >= counts["han"] and counts["kana"] + counts["han"] >= counts["latin"]:
-            return BY_SCRIPT["kana"]
-        script = max(counts, key=counts.get)
+        script = script_of(text)
         # a sentence of five ideographs without kana is not Japanese
-        return ("zh",) if script == "han" and not counts["kana"] and counts["han"] >= 5 else BY_SCRIPT[script]
+        return ("zh",) if script == "han" and len(text) >= 5 and len(SCRIPTS[1][1].findall(text)) >= 5 else BY_SCRIPT[script]
 
     def __call__(self, sentence: str) -> tuple[str | None, float]:
         """(language, confidence) of a sentence in lower case with digits as 0; no language where the margin is narrow."""

@@ -26,7 +26,7 @@ MIN_CONFIDENCE = 0.54
 
 def is_whole(sentence: str, code: str) -> bool:
     """Whether a judged sentence is a whole one that makes a mix: it ends, and is more than a borrowed word."""
-    if not lang.ENDS.search(sentence):
+    if not lang.ends(sentence):
         return False
     words = lang.UNWORD.sub(" ", sentence).split()
     if code in ("ja", "zh"):
@@ -110,7 +110,7 @@ def segments(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, n_sentences int")
 
 
-def region_languages(regions: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, str]) -> DataFrame:
+def region_languages(regions: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
     """(kind, key, lang, letters): for each mixed region its languages (kind 'mixed', key region_id), and what the
     regions of each chapter add up to (kind 'chapter', key chapter_id), summed within the batch first.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -16,10 +17,13 @@ PAGE_NUMBER = re.compile(
     rf"^\s*[-–—~·•\[(|<«*=]*\s*(?:{PAGE_WORDS}\.?\s*)?\d{{1,4}}(?:\s*/\s*\d{{1,4}})?\s*[-–—~·•\])|>»*=]*\s*$|^\s*第?\s*\d{{1,4}}\s*(?:页|頁|ページ|쪽|페이지)\s*$", re.IGNORECASE
 )
 BARE_NUMBER = re.compile(r"^\s*\d{1,4}\s*$")
-ROMAN = re.compile(r"^\s*[-–—~·•\[(|]*\s*(?=[ivxlcdm]{1,8}\b)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\s*[-–—~·•\])|]*\s*$")
+ROMAN = re.compile(r"^\s*[-–—~·•\[(|]*\s*(?=[ivxlc]{2,9}\b)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\s*[-–—~·•\])|]*\s*$")
 HEADER_REST = re.compile(r"^(?:chapter|ch|vol|volume|episode|ep|part|no|page|p|presents?|by|the|and|scans?|team|translations?|group|[\W\d_])*$", re.IGNORECASE)
 NOT_WORD = re.compile(r"[\W_]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿、。！？「」]")
+WORD = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"[.!?…]\s*$")
+BREAKS = re.compile(r"[\r\n]+")
 LINE_END = re.compile(r"[ \t]*[\r\n]+[ \t]*")
 CUT_WORD = re.compile(r"(?<=[^\W\d_])[-‐¬=­][ \t]*[\r\n]+[ \t]*(?=[^\W\d_])")
 
@@ -29,40 +33,49 @@ def squash(text: str) -> str:
     return NOT_WORD.sub("", text).casefold()
 
 
-def titles(manga: DataFrame) -> dict[str, str]:
-    """The squashed title of each manga: a dimension of at most ``MAX_TITLES`` rows."""
-    return {r[0]: s for r in bounded_rows(manga.select("id", "title"), MAX_TITLES, "manga") if r[0] and r[1] and len(s := squash(r[1])) >= 5}
+class Title(NamedTuple):
+    """A title squashed, and its longest word in lower case: no line without that word carries the title."""
+
+    flat: str
+    probe: str
+
+
+def titles(manga: DataFrame) -> dict[str, Title]:
+    """The title of each manga: a dimension of at most ``MAX_TITLES`` rows."""
+    rows = bounded_rows(manga.select("id", "title"), MAX_TITLES, "manga")
+    return {i: Title(flat, max(WORD.findall(title.lower()), key=len)) for i, title in rows if i and title and len(flat := squash(title)) >= 5}
 
 
 HEADER_BEFORE = re.compile(r"^(?:\d+|(?:chapter|ch|volume|vol|episode|ep)\d+)+")
 HEADER_AFTER = re.compile(r"(?:(?:chapter|ch|volume|vol|episode|ep|page|p)?\d+)+$")
 
 
-def is_header(line: str, title: str | None, known: frozenset[str] | set[str] = frozenset(), most_rest: int = 40) -> bool:
-    """Whether a line is a running header: the text's own ``title`` or one of the ``known`` ones (all squashed) with
-    nothing but chapter, number and presenter around it."""
-    if len(line) > 160:
+def is_header(line: str, title: Title | None, known: frozenset[str] = frozenset(), most_rest: int = 40) -> bool:
+    """Whether a line is a running header: the text's own title, or one of the ``known`` ones (squashed) where the text's
+    is not known, with nothing but chapter, number and presenter around it."""
+    if title is not None:
+        if len(line) > 160 or title.probe not in line.lower():
+            return False
+        flat = squash(line)
+        at = flat.find(title.flat)
+        if at < 0:
+            return False
+        rest = flat[:at] + flat[at + len(title.flat) :]
+        return len(rest) <= 6 or (len(rest) <= most_rest and bool(HEADER_REST.match(rest) or flat[:at].endswith("presents")))
+    if not known or len(line) > 120 or CJK.search(line) or (len(line) > 50 and SENTENCE_END.search(line)):
         return False
-    flat = squash(line)
-    if title:
-        at = flat.find(title)
-        if at >= 0:
-            rest = flat[:at] + flat[at + len(title) :]
-            if len(rest) <= 6 or (len(rest) <= most_rest and (HEADER_REST.match(rest) or flat[:at].endswith("presents"))):
-                return True
-    if known:
-        core = HEADER_AFTER.sub("", HEADER_BEFORE.sub("", flat))
-        return core in known or ("presents" in core and core.partition("presents")[2] in known)
-    return False
+    core = HEADER_AFTER.sub("", HEADER_BEFORE.sub("", squash(line)))
+    return core in known or ("presents" in core and core.partition("presents")[2] in known)
 
 
 def is_page_number(line: str) -> bool:
-    return bool(PAGE_NUMBER.match(line)) or (len(line.strip()) >= 1 and bool(ROMAN.match(line)))
+    """Whether a line is a page number and nothing else."""
+    return len(line) <= 24 and (bool(PAGE_NUMBER.match(line)) or (bool(line.strip()) and bool(ROMAN.match(line))))
 
 
-def body_lines(text: str, title: str | None, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
+def body_lines(text: str, title: Title | None, known: frozenset[str] = frozenset()) -> list[str]:
     """The lines without headers and page numbers at the edges of the text."""
-    lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
+    lines = [x for x in BREAKS.split(text) if x.strip()] if "\n" in text or "\r" in text else [text] if text.strip() else []
     while lines and (is_header(lines[0], title, known) or is_page_number(lines[0])):
         lines.pop(0)
     while lines and (is_header(lines[-1], title, known) or (is_page_number(lines[-1]) and _ends(lines[-2:-1]))):

@@ -56,7 +56,9 @@ DECLINES = re.compile(
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 SOUND = re.compile(r"^(?:[hm]+|h?[uao]+h*|(?:h[aeo])+h?|(?:ah)+|(?:oh)+|e+h|u+gh|t?s+k|sh+|wow|huh|hừm|ồ|ơ|[うおあえんーっはへほふ]+|[ふうん]+|[おハはフ]+|[아오어으흠음하허호흐]+|[嗯哦啊哈呵哎唉咦喔噢]+|(?:ха)+|х?м+|о+х?|а+х?|uf+|ай|ой|ja|je)+$")
 DRESS = re.compile(r"^\W*(?:translation|translated text|translated|output|answer|result|response|bản dịch|dịch|english|vietnamese|en|vi)\s*[:：]\s*", re.IGNORECASE)
-UNFINISHED = re.compile(r"(?:\.{2,}|…)[\"'»”’)\]」』）]*\s*$")
+# One of these is in every text that speaks of translating.
+SPEAKING = ("transl", "this request", "this content", "this passage", "this entry", "this dialogue", "this text", "this bubble", "language model", "guideline", "polic", "as an ai", "render", "dịch", "mô hình", "nguyên tắc",
+            "chính sách", "yêu cầu này", "翻", "번역", "tradu", "перев", "bersetz", "terjemah")
 
 
 def _context(words: list[str], i: int) -> tuple[int, int]:
@@ -66,12 +68,12 @@ def _context(words: list[str], i: int) -> tuple[int, int]:
     return zlib.crc32(last.encode()) % BUCKETS, zlib.crc32(two.encode()) % BUCKETS
 
 
-def _script(text: str) -> str:
-    counts = {name: len(r.findall(text)) for name, r in lang.SCRIPTS} if not text.isascii() else {"latin": 1}
-    return "kana" if counts.get("kana") else max(counts, key=counts.get)
+def _open(text: str) -> bool:
+    """Whether a text breaks off with dots."""
+    return text.rstrip(lang.CLOSING).endswith(("..", "…"))
 
 
-def _parts(text: str, title: str | None, known: frozenset[str]) -> tuple[str, list[str]]:
+def _parts(text: str, title: lines.Title | None, known: frozenset[str]) -> tuple[str, list[str]]:
     """The paragraph of a text without headers and page numbers, in lower case, and its sentences."""
     body = lines.paragraph(lines.body_lines(text, title, known) or [""])
     return body, [s for s in lang.sentences(body) if WORD.search(s)]
@@ -88,8 +90,7 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
         seen: dict[str, list[tuple[list[int], list[int]]]] = {}
         for batch in batches:
             targets = batch.column(2).to_pylist()
-            sources = [t.lower() for t in codepoints.unify_texts(batch.column(0))]
-            for source, text, target in zip(sources, (t.lower() for t in codepoints.unify_texts(batch.column(1))), targets, strict=True):
+            for source, text, target in zip(batch.column(0).to_pylist(), (t.lower() for t in codepoints.unify_texts(batch.column(1))), targets, strict=True):
                 if not text or target is None:
                     continue
                 table = ends.get(target)
@@ -104,16 +105,15 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
                         if all(SOUND.match(w) for w in words):
                             every, final = [], []
                         else:
-                            final = list(_context(words, len(words) - 1)) if lang.ENDS.search(s) and not UNFINISHED.search(s) else []
+                            final = list(_context(words, len(words) - 1)) if lang.ends(s) and not _open(s) else []
                         if len(seen) >= lang.MEMO:
                             seen.clear()
                         got = seen[s] = ([b + BUCKETS * (k % 2) for k, b in enumerate(every)], [b + BUCKETS * (k % 2) for k, b in enumerate(final)])
                     every, final = got
                     table[0][every] += 1
                     table[1][final] += 1
-                plain = lines.paragraph(lines.body_lines(source, None, titles) or [""])
-                if len(plain) >= 8 and len(body) >= 8:
-                    lengths[_script(plain), target, round(math.log(len(body) / len(plain)) / BIN)] += 1
+                if len(source) >= 8 and len(body) >= 8:
+                    lengths[lang.script_of(source), target, round(math.log(len(body) / len(source)) / BIN)] += 1
         rows = []
         for target, table in ends.items():
             for k in np.flatnonzero(table[0]).tolist():
@@ -148,10 +148,10 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
 class Judge:
     """Judges pairs; made once per task."""
 
-    def __init__(self, dictionaries: dict[str, bytes], statistics: dict, titles: dict[str, str]) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], statistics: dict, titles: dict[str, lines.Title]) -> None:
         self.classify = lang.Classifier(dictionaries)
         self.contexts, self.lengths = statistics["contexts"], statistics["lengths"]
-        self.titles, self.known = titles, frozenset(titles.values())
+        self.titles, self.known = titles, frozenset(t.flat for t in titles.values())
         # sentences of one word that the corpus knows as sentences, not as names
         self.said = {lines.squash(x) for raw in dictionaries.values() for x in raw.decode("utf-8", "ignore").split("\n") if len(x) <= 40}
         self.small = zs.ZstdCompressionParameters(window_log=14, chain_log=8, hash_log=11, search_log=2, min_match=3, target_length=16, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)
@@ -173,8 +173,18 @@ class Judge:
         with_prompt = len(zs.ZstdCompressor(dict_data=d, compression_params=self.small).compress(raw)) - self.frame
         return (alone - with_prompt) / max(alone, 1)
 
+    def copied(self, prompt: str, text: str) -> bool:
+        """Whether a squashed text is its prompt given back: what the prompt as a dictionary saves, or an exact check."""
+        if len(text) < 4:
+            return False
+        if text == prompt or (len(prompt) >= 6 and prompt in text and len(prompt) >= 0.6 * len(text)):
+            return True
+        return len(text) >= 10 and len(prompt) >= 10 and 0.6 <= len(text) / len(prompt) <= 1.6 and self.shared(text, prompt) >= 0.55
+
     def content(self, parts: list[str]) -> int:
         """0: no dialogue or narration; 1: one word, known as a sentence; 2: more."""
+        if parts and len(set(WORD.findall(parts[0]))) >= 3:
+            return 2
         words = [w for s in parts for w in WORD.findall(s)]
         words = [w for w in words if not w.isdigit()]
         if not words:
@@ -193,7 +203,7 @@ class Judge:
         return 2
 
     def refusal(self, text: str) -> bool:
-        if not (SPEAKS_OF_IT.search(text) and (DECLINES.search(text))):
+        if not any(x in text for x in SPEAKING) or not (SPEAKS_OF_IT.search(text) and (DECLINES.search(text))):
             return False
         raw = text.encode()
         alone = max(1, len(self.plain.compress(raw)) - self.frame)
@@ -213,11 +223,12 @@ class Judge:
         return min(final, n) / n, n
 
     def truncated(self, source: str, s_parts: list[str], text: str, t_parts: list[str], target: str) -> bool:
-        s_ends, t_ends = bool(lang.ENDS.search(source)), bool(lang.ENDS.search(text))
-        s_open, t_open = bool(UNFINISHED.search(source)), bool(UNFINISHED.search(text))
         if not t_parts:
             return True
-        usual = self.lengths.get((_script(source), target))
+        s_ends, t_ends, s_open, t_open = lang.ends(source), lang.ends(text), _open(source), _open(text)
+        if t_ends and len(t_parts) >= len(s_parts) and (s_open or not t_open):
+            return False
+        usual = self.lengths.get((lang.script_of(source), target))
         length = math.exp(math.log(max(len(text), 1) / max(len(source), 1)) - usual) if usual is not None else 1.0
         share, n = self.ends_here(target, t_parts[-1])
         fewer = len(t_parts) < len(s_parts)
@@ -242,42 +253,39 @@ class Judge:
         if not content:
             return None
         stripped = (text or "").strip().lower()
-        flat = lines.squash(stripped)
-        if not flat or flat in STAND_INS:
+        if len(stripped) <= 40 and (not (flat := lines.squash(stripped)) or flat in STAND_INS):
             return "empty"
         t_body, t_parts = _parts(DRESS.sub("", stripped), title, self.known)
         if not t_parts:
             return "empty" if content == 2 else None
         if self.refusal(t_body) and not self.refusal(body):
             return "refusal"
-        s_flat, t_flat = lines.squash(body), lines.squash(t_body)
-        same_script = _script(body) == _script(t_body)
-        if same_script and len(t_flat) >= 4:
-            if t_flat == s_flat or (len(s_flat) >= 6 and s_flat in t_flat and len(s_flat) >= 0.6 * len(t_flat)):
-                return "copy"
-            if len(t_flat) >= 10 and len(s_flat) >= 10 and 0.6 <= len(t_flat) / len(s_flat) <= 1.6 and self.shared(t_flat, s_flat) >= 0.55:
-                return "copy"
         weight: dict[str, float] = {}
         for s in t_parts:
             code, confidence = self.classify(lang.DIGITS.sub("0", s))
             if code and confidence >= MIN_CONFIDENCE:
                 weight[code] = weight.get(code, 0) + len(s)
+        total = sum(weight.values())
+        script = lang.script_of(t_body)
+        # a copy is not in the target language
+        if weight.get(target, 0.0) < 0.6 * total or not total:
+            if lang.script_of(body) == script and self.copied(lines.squash(body), lines.squash(t_body)):
+                return "copy"
         if weight:
             best = max(weight, key=weight.get)
-            if best != target and weight.get(target, 0.0) < 0.25 * sum(weight.values()):
-                if weight[best] >= 0.4 * len(t_body):
-                    return "wrong_language"
-        elif _script(t_body) != "latin" and target in lang.BY_SCRIPT["latin"]:
+            if best != target and weight.get(target, 0.0) < 0.25 * total and weight[best] >= 0.4 * len(t_body):
+                return "wrong_language"
+        elif script != "latin" and target in lang.BY_SCRIPT["latin"]:
             return "wrong_language"
         if self.truncated(body, s_parts, t_body, t_parts, target):
             return "truncated"
         return None
 
 
-def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, str]) -> DataFrame:
+def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
     """(record_kind, record_id, defect), distinct. ``pairs``: record_kind, record_id, source, translation, target_lang, manga_id."""
     pairs = pairs.where("record_id is not null and source is not null").select("record_kind", "record_id", "source", "translation", "target_lang", "manga_id")
-    known = frozenset(titles.values())
+    known = frozenset(t.flat for t in titles.values())
     statistics = corpus_statistics(pairs, known)
     shared = pairs.sparkSession.sparkContext.broadcast((dictionaries, statistics, titles))
 

@@ -55,10 +55,13 @@ PAIRED = re.compile(r"\[([^\[\]\n]+)\]|\{([^{}\n]+)\}|<([^<>\n]+)>")
 MARK_ATTACHED = re.compile(rf"(?<=[^\W_])[.,!?…]?[{STRAY}]+(?=\s|$|[.,!?…])|(?<=[.,!?…。！？])[|¦_\\~^=<>{{}}\[\]`*]+(?=\s|$)|(?<!\S)[|¦_\\~^=<>{{}}\[\]`]+(?=[^\W\d_])")
 MARK_CJK = re.compile(r"(?<=[぀-ヿ㐀-鿿。、！？])\s?[|¦_\\~^=<>{}\[\]`*#]+\s?(?=[぀-ヿ㐀-鿿。、！？]|$)")
 CUT = re.compile(r"([^\W\d_]+)([-‐¬=])(\s*)([^\W\d_]+)")
+MARK = re.compile("[-‐¬=]")
 EDGE = ".,!?…:;\"'«»¿¡()“”‘’—–-。！？、，・「」『』（）：；" + "|¦_\\~^=<>{}[]`*#•·"
 SIGN_INSIDE = re.compile(r"[a-zà-ɏа-яё][0-9€£$|][a-zà-ɏа-яё]")
 WORDISH = re.compile(r"[a-zà-ɏḀ-ỿа-яё]")
 WINDOWED = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
+TOKEN = re.compile(r"[0-9€£]*[a-zà-ɏḀ-ỿа-яё][a-zà-ɏḀ-ỿа-яё0-9€£]*(?:['’|$][a-zà-ɏḀ-ỿа-яё0-9€£]+)*")
+SUSPECT = re.compile(rf"[{STRAY}0-9$]")
 STAMMER = re.compile(r"^([^\W\d_])-(?=\1)")
 DIGIT = re.compile(r"\d+")
 HANGUL = re.compile(r"[가-힣]")
@@ -83,16 +86,8 @@ def confusions() -> list[tuple[str, str, str, int, bool]]:
 
 
 def tokens(text: str) -> list[str]:
-    """Words of scripts with letters, without the marks around them."""
-    out = []
-    for raw in text.split():
-        w = raw.strip(EDGE)
-        if len(w) < 2 or not WORDISH.search(w) or WINDOWED.search(w):
-            continue
-        if w[1:2] == "-" and STAMMER.match(w):
-            w = w[2:]
-        out += [x for x in w.split("-") if len(x) > 1] if "-" in w else [w]
-    return out
+    """Words of scripts with letters (a text in lower case), without the marks around them."""
+    return TOKEN.findall(text)
 
 
 def windows(text: str) -> list[str]:
@@ -103,9 +98,9 @@ def windows(text: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2) if "぀" <= t[i + 1] <= "鿿" or "가" <= t[i + 1] <= "힣"]
 
 
-def edge_lines(text: str, title: str | None, known: frozenset[str]) -> tuple[list[str], bool, bool]:
+def edge_lines(text: str, title: lines.Title | None, known: frozenset[str]) -> tuple[list[str], bool, bool]:
     """(other lines, whether there was a header, whether there was a page number) of a text."""
-    rest = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
+    rest = [x for x in lines.BREAKS.split(text) if x.strip()] if "\n" in text or "\r" in text else [text] if text.strip() else []
     header = number = False
     while rest:
         if lines.is_header(rest[0], title, known):
@@ -129,7 +124,7 @@ def edge_lines(text: str, title: str | None, known: frozenset[str]) -> tuple[lis
 def cuts(body: str) -> list[tuple[str, str, str, str, int, int]]:
     """(left, mark, blank, right, from, to) of every place where a word may be cut."""
     out = []
-    if not any(c in body for c in "-‐¬="):
+    if not MARK.search(body):
         return out
     for m in CUT.finditer(body):
         left, mark, blank, right = m.groups()
@@ -143,14 +138,14 @@ def _fields(regions: DataFrame) -> DataFrame:
     return regions.where("region_id is not null").select(F.col("region_id").cast("bigint"), "manga_id", "text", "translation")
 
 
-def count(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
+def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     """(kind, key, h, n): words (w), their pairs (b), windows (g), hyphenated forms (c) and cut words (h), checkpointed."""
     shared = regions.sparkSession.sparkContext.broadcast(titles)
     names = ["kind", "key", "h", "n"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        title, known = shared.value, frozenset(shared.value.values())
+        title, known = shared.value, frozenset(t.flat for t in shared.value.values())
         seen: dict[str, Counter] = {k: Counter() for k in "wgchb"}
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -158,6 +153,8 @@ def count(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
                 items = list(counter.items())
                 for i in range(0, len(items), 50_000):
                     part = items[i : i + 50_000]
+                    if kind == "b":
+                        part = [("\t".join(k), n) for k, n in part]
                     yield _table([(kind, k, anagram(k) if kind in "wg" else None, n) for k, n in part], names, types)
                 counter.clear()
 
@@ -181,7 +178,7 @@ def count(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
                                 body = body[:a] + " " + body[b:]
                     words = tokens(body)
                     seen["w"].update(words)
-                    seen["b"].update(map("\t".join, zip(words, words[1:], strict=False)))
+                    seen["b"].update(zip(words, words[1:], strict=False))
                     if WINDOWED.search(body):
                         seen["g"].update(windows(lines.paragraph(body.split("\n"))))
             if sum(map(len, seen.values())) > LOCAL_WORDS:
@@ -257,9 +254,11 @@ def cut_words(counts: DataFrame) -> DataFrame:
 class Repairer:
     """Finds and repairs the noise of one text; made once per task."""
 
-    def __init__(self, titles: dict[str, str], verdicts: dict[str, dict[str, str]]) -> None:
-        self.titles, self.known = titles, frozenset(titles.values())
+    def __init__(self, titles: dict[str, lines.Title], verdicts: dict[str, dict[str, str]]) -> None:
+        self.titles, self.known = titles, frozenset(t.flat for t in titles.values())
         self.words, self.windows, self.cuts = (verdicts.get(k, {}) for k in "wgh")
+        middles = {k[1:2] for k in self.windows}
+        self.middles = re.compile("[" + re.escape("".join(sorted(middles))) + "]") if middles else None
 
     def noise(self, text: str, manga: str | None) -> list[str]:
         """The kinds of noise of a unified text."""
@@ -285,19 +284,21 @@ class Repairer:
         return out
 
     def misread(self, body: str) -> bool:
-        words = tokens(body)
-        if not self.words.keys().isdisjoint(words):
-            return True
-        if any(SIGN_INSIDE.search(w) for w in words):
-            return True
-        if any(c in body for c in "[{<"):
-            body = PAIRED.sub(r"\1\2\3", body)
-        if MARK_ALONE.search(body) or MARK_ATTACHED.search(body):
+        if not self.words.keys().isdisjoint(TOKEN.findall(body)):
             return True
+        if SUSPECT.search(body):
+            if SIGN_INSIDE.search(body):
+                return True
+            if any(c in body for c in "[{<"):
+                body = PAIRED.sub(r"\1\2\3", body)
+            if MARK_ALONE.search(body) or MARK_ATTACHED.search(body):
+                return True
         if WINDOWED.search(body):
             whole = lines.paragraph(body.split("\n"))
-            if MARK_CJK.search(whole) or not self.windows.keys().isdisjoint(windows(whole)):
+            if MARK_CJK.search(whole):
                 return True
+            if self.middles is not None and self.middles.search(whole):
+                return not self.windows.keys().isdisjoint(windows(whole))
         return False
 
     def repair(self, text: str, manga: str | None) -> str:
@@ -334,7 +335,7 @@ class Repairer:
         return body
 
 
-def _verdicts(regions: DataFrame, titles: dict[str, str]) -> tuple[DataFrame, int]:
+def _verdicts(regions: DataFrame, titles: dict[str, lines.Title]) -> tuple[DataFrame, int]:
     """All verdicts, checkpointed, and the number of slices to go through them in."""
     counts = count(regions, titles)
     found = cut(misreadings(counts).unionByName(cut_words(counts).select("kind", "key", "to")))
@@ -350,7 +351,7 @@ def _held(found: DataFrame, slices: int, part: int) -> dict[str, dict[str, str]]
     return out
 
 
-def find(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
+def find(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     """(region_id, field, noise), distinct."""
     found, slices = _verdicts(regions, titles)
     context = regions.sparkSession.sparkContext
@@ -374,7 +375,7 @@ def find(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
     return out.distinct()
 
 
-def repaired(regions: DataFrame, titles: dict[str, str]) -> DataFrame:
+def repaired(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     """(region_id, text, translation) with both fields as continuous readable paragraphs; a null stays null."""
     found, slices = _verdicts(regions, titles)
     rows = _fields(regions)
