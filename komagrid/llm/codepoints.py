@@ -128,7 +128,7 @@ def tables() -> dict[str, np.ndarray]:
     # one byte per code point says which steps a batch needs at all
     flags = (width | invisible | space).astype(np.uint8) * SPECIAL
     flags |= (extra > 0).astype(np.uint8) * EXPANDS
-    flags |= ((kind & (MARK | V_JAMO)) > 0).astype(np.uint8) * JOINS
+    flags |= ((kind & (MARK | V_JAMO | T_JAMO)) > 0).astype(np.uint8) * JOINS
     flags |= (((kind & (CYRILLIC | GREEK)) > 0) | (to_katakana > 0)).astype(np.uint8) * ALIKE
     flags |= (to_han > 0).astype(np.uint8) * KANA_ALIKE
     return {
@@ -190,13 +190,29 @@ def _compose(points: np.ndarray, begins: np.ndarray, was_mark: np.ndarray, forms
     kind, ccc = t["kind"], t["ccc"]
     if not ((kind[points] & (MARK | V_JAMO | T_JAMO)) > 0).any():
         return points, begins
-    for _ in range(6):  # canonical order: a mark may pass one of a higher class
+    # a composed character before a mark is taken apart first, or marks of a lower class could not pass its own
+    joined = np.flatnonzero((kind[points[1:]] & MARK) > 0)
+    apart = {int(c): d for c in np.unique(points[joined]) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and not 0xAC00 <= c < 0xD7A4}
+    if apart:
+        extra = np.zeros(len(points), np.int64)
+        at_base = joined[np.isin(points[joined], np.array(list(apart), np.uint32))]
+        extra[at_base] = [len(apart[int(c)]) - 1 for c in points[at_base]]
+        at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + extra, out=at[1:])
+        wide, was_mark = np.repeat(points, 1 + extra), np.repeat(was_mark, 1 + extra)
+        for i in at_base:
+            wide[at[i] : at[i + 1]] = [ord(c) for c in apart[int(points[i])]]
+        points, begins = wide, at[begins]
+    first = np.zeros(len(points) + 1, bool)
+    first[begins] = True
+    for _ in range(16):  # canonical order: a mark may pass one of a higher class, never a text's end
         c = ccc[points]
-        swap = np.flatnonzero((c[:-1] > c[1:]) & (c[1:] > 0))
+        swap = np.flatnonzero((c[:-1] > c[1:]) & (c[1:] > 0) & ~first[1 : len(points)])
         swap = swap[np.r_[True, np.diff(swap) > 1]] if len(swap) else swap
         if not len(swap):
             break
-        points[swap], points[swap + 1] = points[swap + 1].copy(), points[swap].copy()
+        for values in (points, was_mark):
+            values[swap], values[swap + 1] = values[swap + 1].copy(), values[swap].copy()
     while len(points) > 1:
         k = kind[points]
         base, mark = k[:-1], k[1:]
@@ -216,20 +232,39 @@ def _compose(points: np.ndarray, begins: np.ndarray, was_mark: np.ndarray, forms
             hit = t["pairs"][found] == keys
             out[marks[hit]] = t["composed"][found[hit]]
         hits = np.flatnonzero((out > 0) & inside)
+        step = 1
+        if not len(hits) and len(points) > 2:
+            # over one mark of a lower class that has no composed character with the base
+            two = np.flatnonzero(((mark[:-1] & MARK) > 0) & ((mark[1:] & MARK) > 0) & inside[:-1] & inside[1:])
+            two = two[(ccc[points[two + 1]] < ccc[points[two + 2]]) & (ccc[points[two + 1]] > 0)]
+            keys = points[two].astype(np.int64) << 21 | points[two + 2]
+            found = np.minimum(np.searchsorted(t["pairs"], keys), len(t["pairs"]) - 1)
+            two, found = two[t["pairs"][found] == keys], found[t["pairs"][found] == keys]
+            out[two] = t["composed"][found]
+            hits, step = two, 2
         if not len(hits):
             break
-        hits = hits[np.r_[True, np.diff(hits) > 1]]  # of two that overlap, the first now and the other in the next pass
+        hits = hits[np.r_[True, np.diff(hits) > step]]  # of two that overlap, the first now and the other in the next pass
         flags = np.zeros(len(points), bool)
-        flags[hits + 1] = was_mark[hits + 1]
+        flags[hits + step] = was_mark[hits + step]
         _flag(forms, flags, begins, COMBINING)
         points[hits] = out[hits]
         stay = np.ones(len(points), bool)
-        stay[hits + 1] = False
+        stay[hits + step] = False
         begins = _keep(stay, begins)
         points, was_mark = points[stay], was_mark[stay]
     return points, begins
 
 
+def _beside(k: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of the code points before and after each, 0 at a text's ends."""
+    prev, nxt = np.r_[np.uint16(0), k[:-1]], np.r_[k[1:], np.uint16(0)]
+    prev[begins[:-1][begins[:-1] < len(k)]] = 0
+    ends = begins[1:] - 1
+    nxt[ends[ends >= 0]] = 0
+    return prev, nxt
+
+
 def _lookalikes(points: np.ndarray, begins: np.ndarray, forms: np.ndarray) -> np.ndarray:
     """Replace letters of another script inside words, judged by the letters that only one script has."""
     t = tables()
@@ -278,10 +313,7 @@ def _lookalikes(points: np.ndarray, begins: np.ndarray, forms: np.ndarray) -> np
                 hits[part[other]] = True
     han = t["to_katakana"][points] > 0
     if han.any():
-        prev, nxt = np.r_[np.uint16(0), k[:-1]], np.r_[k[1:], np.uint16(0)]
-        prev[begins[:-1][begins[:-1] < len(points)]] = 0
-        ends = begins[1:] - 1
-        nxt[ends[ends >= 0]] = 0
+        prev, nxt = _beside(k, begins)
         before, after = (prev & KATAKANA) > 0, (nxt & KATAKANA) > 0
         prev_han, next_han = (prev & HAN) > 0, (nxt & HAN) > 0
         numeral = np.isin(points, np.array([ord(c) for c in "一二八千"], np.uint32))
@@ -297,7 +329,7 @@ def _lookalikes(points: np.ndarray, begins: np.ndarray, forms: np.ndarray) -> np
         if row_of is None:
             row_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
         kana = np.bincount(row_of[((k & (HIRAGANA | KATAKANA)) > 0) & ~kata], minlength=len(begins) - 1)
-        prev, nxt = np.r_[np.uint16(0), k[:-1]], np.r_[k[1:], np.uint16(0)]
+        prev, nxt = _beside(k, begins)
         swap = kata & (kana[row_of] == 0) & ((prev & HAN) > 0) & ((nxt & HAN) > 0) & ~hits
         points[swap] = t["to_han"][points[swap]]
         hits |= swap

@@ -110,18 +110,20 @@ def clean_sample(sample: dict[str, list[str]]) -> dict[str, list[str]]:
     totals = {lang: sum(c.values()) or 1 for lang, c in counts.items()}
     vocabulary = len(set().union(*counts.values())) if counts else 0
 
-    def best(s: str) -> str:
-        grams = _grams(s)
-        return max(counts, key=lambda k: sum(math.log((counts[k][g] + 0.5) / (totals[k] + 0.5 * vocabulary)) for g in grams))
+    times = {lang: Counter(ss) for lang, ss in split.items()}
+
+    def score(code: str, grams: list[str], own: int) -> float:
+        """The likelihood under a label's other sentences."""
+        count, total, mine = counts[code], totals[code] - own * len(grams), Counter(grams)
+        return sum(n * math.log((max(0, count[g] - own * n) + 0.5) / (total + 0.5 * vocabulary)) for g, n in mine.items())
 
-    judged: dict[str, str] = {}
     out: dict[str, list[str]] = {}
     for lang, ss in split.items():
         kept = []
         for s in dict.fromkeys(ss):
-            if s not in judged:
-                judged[s] = best(s)
-            if judged[s] == lang and len(s) > 5:
+            grams = _grams(s)
+            # a sentence that the label repeats speaks for itself; a single one doesn't
+            if len(s) > 5 and max(counts, key=lambda k: score(k, grams, int(k == lang and times[lang][s] == 1))) == lang:
                 kept.append(s)
         out[lang] = kept
     return out

@@ -95,6 +95,7 @@ def paragraph(lines: list[str]) -> str:
     parts = LINE_END.split(text)
     out = parts[0]
     for part in parts[1:]:
-        glue = "" if (out and part and CJK.match(out[-1]) and (CJK.match(part[0]) or part[0].isdigit())) or (out and part and out[-1].isdigit() and CJK.match(part[0])) else " "
+        tight = out and part and (CJK.match(out[-1]) or (out[-1].isdigit() and CJK.search(out[-6:]))) and (CJK.match(part[0]) or (part[0].isdigit() and CJK.search(part[:6])))
+        glue = "" if tight else " "
         out += glue + part
     return out.strip()

@@ -80,7 +80,7 @@ PHRASE, DEFAULT = any_of(FILLER_LINES), any_of((FILLER_DEFAULT,))
 # What a text must hold (in lower case) for its lines to be looked at.
 LINE_SIGNS = ("script", "スクリプト", "스크립트", "скрипт", "error", "fehler", "erreur", "erro", "galat", "kesalahan", "lỗi", "ошибк", "エラー", "错误", "錯誤", "오류", "에러", "unavailable", "available", "disponib", "indispon", "verfügbar", "erreichbar",
               "недоступ", "not found", "gefunden", "encontrad", "trovat", "introuvable", "ditemukan", "tìm thấy", "見つかりません", "不存在", "찾을 수", "denied", "refusé", "verweigert", "negado", "negato", "ditolak", "từ chối", "запрещ", "拒",
-              "try again", "retry", "reload", "maintenance", "bảo trì", "점검", "メンテナンス", "维护", "混み合", "server", "máy chủ", "サーバー", "服务器", "서버", "сервер", "сервис", "rate limit", "too many requests", "gateway", "forbidden", "timed out", "timeout",
+              "try again", "retry", "reload", "maintenance", "bảo trì", "점검", "メンテナンス", "维护", "混み合", "server", "máy chủ", "サーバー", "服务器", "서버", "сервер", "сервис", "rate limit", "too many requests", "http", "gateway", "forbidden", "timed out", "timeout",
               "time out", "overloaded", "oops", "went wrong", "this page", "the page", "requested url", "can't find that page", "页面", "ページが", "お探しのページ", "페이지", "layanan", "dienst", "dịch vụ", "tersedia", "khả dụng")
 FILLER_SIGNS = ("here", "text", "content", "placeholder", "dummy", "filler", "sample", "write ", "add ", "put ", "insert ", "enter ", "type ", "describe ", "lorem", "asdf", "qwer", "zxcv", "hjkl", "tbd", "tba", "todo", "fixme", "xxx", "to be ", "paragraph")
 SPEAKER = re.compile(r"^[^\s:：]{1,16}[:：]\s*(?=\S{3})")

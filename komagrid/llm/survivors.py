@@ -68,16 +68,16 @@ def spelling_keys(names: DataFrame, column: str) -> DataFrame:
     Names with the same set of letters meet; the most frequent stands for those that differ from it by one letter
     written twice or by two neighbours exchanged. The table holds distinct names only.
     """
-    counted = names.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    letters = F.array_join(F.array_sort(F.array_distinct(F.split(F.col(column), ""))), "")
-    counted = counted.withColumn("letters", letters)
-    order = Window.partitionBy("letters").orderBy(F.desc("n"), column)
-    best = F.first(column).over(order)
-    distance = F.levenshtein(F.col(column), F.col("best"))
+    counted = names.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("_n"))
+    letters = F.array_join(F.array_sort(F.array_distinct(F.split(F.col("_name"), ""))), "")
+    counted = counted.withColumn("_letters", letters)
+    order = Window.partitionBy("_letters").orderBy(F.desc("_n"), "_name")
+    best = F.first("_name").over(order)
+    distance = F.levenshtein(F.col("_name"), F.col("_best"))
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    doubled = (distance == 1) & (F.length(column) == F.length("best") + 1)
-    exchanged = (distance == 2) & (sorted_(F.col(column)) == sorted_(F.col("best")))
-    return counted.withColumn("best", best).select(column, F.when(doubled | exchanged, F.col("best")).otherwise(F.col(column)).alias("spelled"))
+    doubled = (distance == 1) & (F.length("_name") == F.length("_best") + 1)
+    exchanged = (distance == 2) & (sorted_(F.col("_name")) == sorted_(F.col("_best")))
+    return counted.withColumn("_best", best).select(F.col("_name").alias(column), F.when(doubled | exchanged, F.col("_best")).otherwise(F.col("_name")).alias("spelled"))
 
 
 def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
@@ -191,7 +191,8 @@ def survivors(members: DataFrame) -> DataFrame:
     facts = cut(claims(members))
     sens, spec, prior = fit_quality(facts)
     judged = facts.withColumn("p", _posterior(F.col("yes"), F.col("cover"), F.col("field"), sens, spec, prior))
-    rank = F.struct("p", F.size("yes").alias("votes"), "trust", "updated_at", "value")
+    # of the values judged true the one that most sources state; wrong values seldom agree
+    rank = F.struct((F.col("p") >= 0.5).alias("true"), F.size("yes").alias("votes"), "p", "trust", "updated_at", "value")
     best = judged.groupBy("release", "field").agg(
         F.max(rank)["value"].alias("value"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("value")))).alias("all")
     )
