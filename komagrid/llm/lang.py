@@ -22,6 +22,8 @@ LANGS = ("ja", "ko", "zh", "en", "es", "pt", "id", "fr", "it", "de", "ru", "vi")
 SAMPLE_DOCS = 120
 DICT_BYTES = 48 * 1024
 MEMO = 200_000
+#: The confidence of a short sentence that only one language's dictionary holds as it is.
+KNOWN = 0.7
 
 # Other codes and names of the languages.
 ALIASES = {
@@ -171,6 +173,13 @@ class Classifier:
         # short sentences need matches of three bytes
         self.fine = {k: compressor(v, level=5, min_match=3, strategy=zs.STRATEGY_BTOPT, search_log=4, target_length=32) for k, v in dictionaries_.items()}
         self.plain = zs.ZstdCompressor(compression_params=zs.ZstdCompressionParameters.from_level(1, write_content_size=False))
+        # whole sentences that one language alone has: what compression would find, for sentences too short for margins
+        self.known: dict[str, str | None] = {}
+        for code, raw in dictionaries_.items():
+            for line in raw.decode("utf-8", "ignore").split("\n"):
+                if len(line) <= 40 and ends(line):
+                    flat = UNWORD.sub("", line)
+                    self.known[flat] = code if self.known.get(flat, code) == code else None
         self.memo: dict[str, tuple[str | None, float]] = {}
 
     @staticmethod
@@ -198,6 +207,8 @@ class Classifier:
                 return None, 0.0
         elif len(words) < 2:  # no blanks between words
             return None, 0.0
+        if len(words) <= 24 and not latin and codes != ("ru",) and len(codes) > 1 and (known := self.known.get(UNWORD.sub("", sentence))):
+            return known, KNOWN
         raw = sentence.encode()
         if len(codes) == 1:
             # its script decides; what the dictionary saves is the confidence
@@ -211,5 +222,6 @@ class Classifier:
             both = sorted((n + 2 * fine[c], c) for n, c in sizes)
             (best, code), (second, _) = both[0], both[1]
             if second - best < max(4, 0.05 * second):
-                return None, 0.0
+                known = self.known.get(UNWORD.sub("", sentence))
+                return (known, KNOWN) if known else (None, 0.0)
         return code, round(min(1.0, 0.5 + (second - best) / second), 4)

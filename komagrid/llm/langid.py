@@ -44,7 +44,7 @@ def judge(parts: list[str], classify: Callable[[str], tuple[str | None, float]])
         each.append((s, code, confidence))
         if code and confidence >= MIN_CONFIDENCE:
             weight[code] += len(s)
-            if code not in whole and is_whole(s, code):
+            if code not in whole and (is_whole(s, code) or (confidence == lang.KNOWN and lang.ends(s))):
                 whole[code] = True
     return weight, list(whole), each
 
