@@ -133,6 +133,9 @@ ORACLES = {
         SELECT ord, trim(regexp_replace(left({BASE_SQL}, length({BASE_SQL}) - length({END_SQL})), '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), ' .') AS stem,
                left({BASE_SQL}, length({BASE_SQL}) - length({END_SQL})) || CASE WHEN lower({END_SQL}) = '.png' THEN '.png' ELSE '.jpg' END AS output_name,
                lower({END_SQL}) IN ('.png', '.jpg', '.jpeg', '.webp', '.bmp') AS is_image FROM {FILES_SQL}""",
+    "natural_order": rf"""
+        SELECT ord, row_number() OVER (PARTITION BY batch_id ORDER BY list_transform(regexp_extract_all(path, '\D*\d*'), lambda x:
+            {{'t': lower(regexp_extract(x, '^(\D*)', 1)), 'd': coalesce(try_cast(regexp_extract(x, '(\d*)$', 1) AS HUGEINT), -1)}}), ord) AS place FROM {FILES_SQL}""",
     "accepted_uploads": f"""
         WITH f AS (SELECT *, CASE WHEN lower({END_SQL}) NOT IN ('.png', '.jpg', '.jpeg', '.webp', '.bmp') THEN 'skipped' WHEN size > 20971520 THEN 'too_big' END AS why FROM {FILES_SQL}),
              d AS (SELECT * EXCLUDE why, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY batch_id, path, size, why IS NULL ORDER BY ord) > 1 THEN 'duplicate' END) AS why FROM f),

@@ -102,6 +102,7 @@ def _fold(order: str, hides: str, most: float) -> str:
             CASE WHEN len(list_filter(kept, lambda k: {hides} {RATIO.format("d[1].b", "k.b")} > {most})) > 0 THEN kept ELSE list_concat(kept, d) END), lambda k: k.o)) AS det_ord"""
 
 
+JOINS_ROW = "nullif(list_position(list_transform(a, lambda v: (least(c[1].y1, v.y1) - greatest(c[1].y0, v.y0)) > 0.5 * least(c[1].y1 - c[1].y0, v.y1 - v.y0)), true), 0)"
 ORACLES = {
     "box_overlap": f"""
         SELECT region_id, {AREA.format("text_box")} AS area, {SHARED.format("text_box", "bubble_box")} AS shared, round({RATIO.format("text_box", "bubble_box")}, 6) AS overlap
@@ -127,4 +128,11 @@ ORACLES = {
         WITH d AS (SELECT * FROM {DETECTIONS_SQL}), p AS (SELECT t.page_id, t.det_ord, b.det_ord AS bo, {SHARED.format("t.box", "b.box")} AS s FROM d t JOIN d b ON t.page_id = b.page_id AND t.label <> 0 AND b.label = 0),
              m AS (SELECT page_id, det_ord, arg_max({{'bo': bo, 's': s}}, {{'v': s, 'nb': -bo}}) AS best FROM p WHERE s > 0 GROUP BY ALL)
         SELECT t.page_id, t.det_ord, CASE WHEN best.s > 0.5 * {AREA.format("t.box")} THEN best.bo END AS bubble_ord FROM d t LEFT JOIN m ON m.page_id = t.page_id AND m.det_ord = t.det_ord WHERE t.label <> 0""",
+    "reading_order": f"""
+        WITH r AS (SELECT page_id, region_ord, text_box AS b, row_number() OVER (PARTITION BY page_id ORDER BY text_box.y0, region_ord) AS o FROM {REGIONS_SQL} WHERE text_box IS NOT NULL),
+             f AS (SELECT page_id, list_reduce(list([{{'y0': b.y0, 'y1': b.y1, 'm': [{{'k': -b.x1, 'o': o, 'i': region_ord}}]}}] ORDER BY o), lambda a, c:
+                       CASE WHEN {JOINS_ROW} IS NULL THEN list_concat(a, c) ELSE list_transform(a, lambda w, n: CASE WHEN n = {JOINS_ROW}
+                           THEN {{'y0': least(w.y0, c[1].y0), 'y1': greatest(w.y1, c[1].y1), 'm': list_concat(w.m, c[1].m)}} ELSE w END) END) AS rows FROM r GROUP BY page_id),
+             g AS (SELECT page_id, flatten(list_transform(rows, lambda w: list_transform(list_sort(w.m), lambda x: x.i))) AS ids FROM f)
+        SELECT page_id, unnest(ids) AS region_ord, (generate_subscripts(ids, 1) - 1)::INT AS place FROM g""",
 }
