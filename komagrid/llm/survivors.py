@@ -128,16 +128,20 @@ def prepare(records: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def claims(members: DataFrame) -> DataFrame:
-    """(release, field, value, feeds that state it, feeds that state any value of the field), hot groups summed first."""
+    """(release, field, value, shown, feeds that state it, feeds that state any value of the field), hot groups summed first."""
     values = {"chapter": "chapter_key", "group_name": "group_key", "pages": "pages_key", "volume": "volume_key"}
+    # numbers are shown in their plain form, names as the most trusted source writes them
+    shown = {f: filled(F.col("group_name")) if f == "group_name" else F.col(v).cast("string") for f, v in values.items()}
     stated = members.select(
         "release", "feed_id", "trust", "updated_at",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("value")) for f, v in values.items()])).alias("x"),
-    ).select("release", F.coalesce("feed_id", F.lit(-1)).alias("feed"), "trust", "updated_at", "x.field", "x.value").where("value is not null")
-    by_feed = stated.groupBy("release", "field", "value", "feed").agg(F.max("trust").alias("trust"), F.max("updated_at").alias("updated_at"))
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("value"), shown[f].alias("shown")) for f, v in values.items()])).alias("x"),
+    ).select("release", F.coalesce("feed_id", F.lit(-1)).alias("feed"), "trust", "updated_at", "x.field", "x.value", "x.shown").where("value is not null")
+    by_feed = stated.groupBy("release", "field", "value", "feed").agg(
+        F.max("trust").alias("trust"), F.max("updated_at").alias("updated_at"), F.max_by("shown", F.struct("updated_at", "shown")).alias("shown")
+    )
     facts = by_feed.groupBy("release", "field", "value").agg(
-        F.array_sort(F.collect_set("feed")).alias("yes"), F.max("trust").alias("trust"), F.max("updated_at").alias("updated_at")
-    )
+        F.array_sort(F.collect_set("feed")).alias("yes"), F.max("trust").alias("trust"), F.max("updated_at").alias("updated_at"), F.max_by("shown", F.struct("trust", "updated_at", "shown")).alias("shown"),
+    )
     cover = by_feed.groupBy("release", "field").agg(F.array_sort(F.collect_set("feed")).alias("cover"), F.countDistinct("value").alias("n_values"))
     return facts.join(cover, ["release", "field"])
 
@@ -192,9 +196,9 @@ def survivors(members: DataFrame) -> DataFrame:
     sens, spec, prior = fit_quality(facts)
     judged = facts.withColumn("p", _posterior(F.col("yes"), F.col("cover"), F.col("field"), sens, spec, prior))
     # of the values judged true the one that most sources state; wrong values seldom agree
-    rank = F.struct((F.col("p") >= 0.5).alias("true"), F.size("yes").alias("votes"), "p", "trust", "updated_at", "value")
+    rank = F.struct((F.col("p") >= 0.5).alias("true"), F.size("yes").alias("votes"), "p", "trust", "updated_at", "value", "shown")
     best = judged.groupBy("release", "field").agg(
-        F.max(rank)["value"].alias("value"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("value")))).alias("all")
+        F.max(rank)["shown"].alias("value"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("shown")))).alias("all")
     )
     wide = best.groupBy("release").agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS],
