@@ -3,8 +3,9 @@
 Slots are induced by alignment: delimited tokens are taken out of the texts with the words around them. A token is a slot
 that kept its variable name, default or blank if its delimiters have no other use, if the same name stands elsewhere
 in such delimiters, or if records of the same surroundings hold different names there. Error pages and script notices
-are lines whose masked form stands alone as whole pages, or that open the way such pages do. Stand-in prose is known by
-its phrases and by a vocabulary grown from its seed words over the whole corpus. A line that speaks of such things inside
+are lines that open the way such pages do, or, whatever their wording, lines whose masked form stands alone as whole
+pages and whose windows of words occur in no other line: prose that repeats shares its windows with lines that hold other
+names or neighbours. Phrases name the kind of such a page. Stand-in prose is known by its phrases and by a vocabulary grown from its seed words over the whole corpus. A line that speaks of such things inside
 a story neither opens so nor stands alone.
 
 Defined results: a null or empty text is no case; a document has one kind, the first of error_page, script_notice,
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -89,10 +91,48 @@ DOTTED = re.compile(r"^\W?[A-Za-z]+(?:[_.][A-Za-z0-9]+)+\W?$")
 BLANK = re.compile(r"^_{4,}$|^\[\s+\]$")
 NOT_ALNUM = re.compile(r"[\W_]+")
 DIGITS = re.compile(r"\d+")
+MASKED = re.compile(r"(?<![0-9A-Za-z])[A-Za-z]*\d[0-9A-Za-z]*")
+STOP = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*(?=\S)")
+PIECE = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_぀-ヿ㐀-鿿]+|#")
+NOTICE = re.compile(SCRIPT_WORDS + r"|\bjs\b|\bscripts?\b", re.IGNORECASE)
 SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
 LATIN = re.compile(r"[a-z]+")
 SEEDS = frozenset(SURE_SEEDS)
 COLUMNS = "doc_id string, kind string, value string, around string, sure boolean, n_seeds int, words array<string>"
+#: Windows of whole-page templates that are broadcast; more of them are joined by shuffle.
+MOST_WINDOWS = 2_000_000
+#: A template's least number of windows, of its pages, and the parts of its documents and of its windows.
+LEAST_WINDOWS, LEAST_ALONE, PART_ALONE, PART_SHARED = 3, 2, 0.25, 0.2
+
+
+def openings(line: str) -> list[str]:
+    """The masked form of a line by its first sentence, its first two and three, and whole: what follows may be a footer."""
+    masked = MASKED.sub("#", SPEAKER.sub("", line))
+    out = [x for m in list(STOP.finditer(masked))[:3] if (x := masked[: m.start()])]
+    return out + [masked] if masked not in out else out
+
+
+def windows(sentence: str) -> list[str]:
+    """Each three words of a sentence, each six characters where a script has no blanks."""
+    out, words = [], []
+    for piece in PIECE.findall(sentence.lower()):
+        if "぀" <= piece[0] <= "鿿":
+            out += [piece[i : i + 6] for i in range(max(1, len(piece) - 5))]
+        else:
+            words.append(piece)
+    return out + [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else out
+
+
+def layout(text: str) -> Iterator[tuple]:
+    """The openings of all lines of a text ('lines'), and what may be a whole page ('page': opening, lines below)."""
+    parts = [x for line in re.split(r"[\r\n]+", text) if (x := line.strip())]
+    every = [openings(x) for x in parts]
+    yield "lines", None, None, None, None, list({x for line in every for x in line})
+    # a page: the line, a title above it, what may be footers below it
+    for at in range(2 if len(parts) <= 4 else 0):
+        if at < len(parts) <= at + 3 and not (PHRASE.search(parts[at]) or DEFAULT.search(parts[at]) or len(SEEDS.intersection(LATIN.findall(parts[at].lower()))) >= 2):
+            for x in every[at]:
+                yield "page", x, "\n".join(o[-1] for o in every[at + 1 :]), None, None, None
 
 
 class Scanner:
@@ -157,11 +197,72 @@ def candidates(docs: DataFrame) -> DataFrame:
         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
         names = ["doc_id", "kind", "value", "around", "sure", "n_seeds", "words"]
         for batch in batches:
-            rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in scan(text)]
+            rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in chain(scan(text), layout(text))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, COLUMNS)
+    found = docs.mapInArrow(run, COLUMNS)
+    lines = F.col("kind") == "lines"
+    return found.withColumn("hashes", F.when(lines, F.transform("words", lambda x: F.xxhash64(x)))).withColumn("words", F.when(~lines, F.col("words")))
+
+
+def line_windows(docs: DataFrame) -> DataFrame:
+    """(w, covers): the windows of every line, with the openings of the line that hold them, all as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                for line in re.split(r"[\r\n]+", text):
+                    line = line.strip()
+                    if not line or line in known:
+                        continue
+                    if len(known) >= 200_000:
+                        known.clear()
+                    known.add(line)
+                    heads = openings(line)
+                    for i, sentence in enumerate(STOP.split(heads[-1])):
+                        if found := windows(sentence):
+                            rows.append((found, heads[i:] if i < len(heads) else heads[-1:]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)], names=["windows", "covers"])
+
+    each = docs.mapInArrow(run, "windows array<string>, covers array<string>")
+    return each.select(F.explode("windows").alias("w"), F.transform("covers", lambda x: F.xxhash64(x)).alias("covers")).select(F.xxhash64("w").alias("w"), "covers")
+
+
+def templates(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(value, h): masked lines that stand alone as whole pages and share their windows with no other line."""
+    usual = found.where("kind = 'lines'").select("doc_id", "hashes").distinct().select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    page = found.where("kind = 'page'").select("doc_id", "value", F.xxhash64("value").alias("h"), F.expr("if(around = '', array(), split(around, '\n'))").alias("below")).distinct()
+    page = cut(page)
+    maybe = page.groupBy("value", "h").agg(F.countDistinct("doc_id").alias("a")).where(F.col("a") >= LEAST_ALONE).join(usual, "h").where(F.col("a") >= PART_ALONE * F.col("n"))
+    footer = page.select("doc_id", "h", F.explode("below").alias("value")).groupBy("value").agg(F.countDistinct("h").alias("heads"), F.countDistinct("doc_id").alias("docs")).where("heads >= 2 and docs >= 2")
+    pool = maybe.select("value", "h", "n").unionByName(footer.select("value", F.xxhash64("value").alias("h"), F.lit(None).cast("bigint").alias("n")))
+    pool = cut(pool.groupBy("value", "h").agg(F.max("n").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, w) for h, value in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) for w in {w for s in STOP.split(value) for w in windows(s)}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["h", "w"])
+
+    own = cut(pool.select("value", "h").mapInArrow(run, "h bigint, w string").select("h", F.xxhash64("w").alias("w")))
+    wanted = own.select("w").distinct()
+    if wanted.count() <= MOST_WINDOWS:
+        wanted = F.broadcast(wanted)
+    met = line_windows(docs).join(wanted, "w").distinct().withColumn("place", F.monotonically_increasing_id())
+    met = cut(met)
+    covered = met.select("place", F.explode("covers").alias("h")).join(pool.select("h"), "h", "left_semi").select("place").distinct()
+    elsewhere = met.join(covered, "place", "left_anti").select("w").distinct().withColumn("shared", F.lit(1))
+    judged = own.join(elsewhere, "w", "left").groupBy("h").agg(F.count("*").alias("n_windows"), F.sum(F.coalesce("shared", F.lit(0))).alias("n_shared"))
+    closed = cut(pool.join(judged.where(F.col("n_shared") <= PART_SHARED * F.col("n_windows")), "h"))
+    # pages again, with nothing below but footers
+    known = closed.select(F.col("value").alias("foot"))
+    below = page.where("size(below) > 0").select("doc_id", "h", F.size("below").alias("size"), F.posexplode("below").alias("at", "foot"))
+    footed = below.join(known, "foot", "left_semi").groupBy("doc_id", "h", "size").count().where("count = size").select("doc_id", "h")
+    alone = page.where("size(below) = 0").select("doc_id", "h").unionByName(footed).distinct().groupBy("h").agg(F.count("*").alias("n_alone"))
+    whole = closed.where((F.col("n_windows") >= LEAST_WINDOWS) & F.col("n").isNotNull()).join(alone, "h")
+    return whole.where((F.col("n_alone") >= LEAST_ALONE) & (F.col("n_alone") >= PART_ALONE * F.col("n"))).select("value", "h")
 
 
 def placeholders(found: DataFrame) -> DataFrame:
@@ -173,14 +274,17 @@ def placeholders(found: DataFrame) -> DataFrame:
     return slots.where("sure").select("doc_id").unionByName(doubtful.select("doc_id"))
 
 
-def pages(found: DataFrame) -> DataFrame:
+def pages(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, residue): error pages and script notices, whole or as a line of a document."""
+    whole = templates(found, docs)
+    kind = F.when(F.col("value").rlike("(?iu)" + NOTICE.pattern), F.lit("script_notice")).otherwise(F.lit("error_page"))
+    held = found.where("kind = 'lines'").select("doc_id", F.explode("hashes").alias("h")).join(whole.select("h", kind.alias("residue")), "h").select("doc_id", "residue")
     # whole pages repeat: the template of a line that is mostly seen alone, or below a title
     loose = found.where("kind = 'line'")
     seen = loose.groupBy("value").agg(F.count("*").alias("n"), F.count_if("sure").alias("n_alone"))
     repeated = seen.where("n_alone >= 2 and n_alone * 10 >= 4 * n").select("value")
     strict = found.where("kind in ('script_notice', 'error_page')").select("doc_id", F.col("kind").alias("residue"))
-    return strict.unionByName(loose.join(repeated, "value", "left_semi").select("doc_id", F.lit("error_page").alias("residue")))
+    return strict.unionByName(held).unionByName(loose.join(repeated, "value", "left_semi").select("doc_id", F.lit("error_page").alias("residue")))
 
 
 def fillers(found: DataFrame) -> DataFrame:
@@ -204,7 +308,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     found = cut(candidates(source))
     every = (
-        pages(found)
+        pages(found, source)
         .unionByName(placeholders(found).withColumn("residue", F.lit("placeholder")))
         .unionByName(fillers(found).withColumn("residue", F.lit("filler")))
     )

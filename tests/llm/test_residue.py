@@ -46,3 +46,14 @@ def test_empty(spark):
 @pytest.mark.parametrize("line", ["HTTP 503", "502 Bad gateway", "Access denied.", "服务器繁忙，请稍后再试。"])
 def test_openings(line):
     assert [x[0] for x in rs.Scanner()(line)] == ["error_page"]
+
+
+def test_pages_in_any_wording(spark):
+    page, notice, footer = "Your visit has ended. Sign in anew to go on with volume 3.", "Our viewer is idle without JS; switch that on in the settings.", "Powered by pagecache"
+    rows = [page, f"My Title\n{page}", f"He ran.\n{page} {footer}\nShe ran.\nNo.", notice, notice, f"One.\n{notice}\nTwo."]
+    # prose that repeats alone, with other names and neighbours elsewhere
+    rows += ["Readers asked whether Kazu and the captain are related."] * 2 + ["Readers asked whether Pimi and the captain are related. It rains.", "So Readers asked whether Rula and the captain are related."]
+    # prose that stands alone at times only
+    rows += ["The robot only says beep when it is very hungry."] * 2 + [f"Line {c}.\nThe robot only says beep when it is very hungry.\nEnd {c}." for c in "abcdefg"]
+    got = {r.doc_id: r.residue for r in rs.residue(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(3), "error_page") | dict.fromkeys(range(3, 6), "script_notice")
