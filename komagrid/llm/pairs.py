@@ -3,7 +3,7 @@
 The response is compressed with its prompt as a raw-content dictionary (copies), with each language's dictionary (wrong
 language) and with a dictionary of refusals; what it says by its last words is judged by a terminal-context model, the
 share of each context that ends a sentence anywhere in the corpus, together with the usual proportion of lengths.
-Context counts and lengths cover all pairs in a table of fixed size (hashed contexts).
+Contexts are counted exactly over all pairs; the pairs whose defect hangs on one are joined with its counts.
 
 Defined results: a pair whose source is null, empty or without words, or holds only a name, a sound, a number, a header
 or a page number, is no case; a null translation of any other is 'empty'; ``failed`` does not matter; a pair has
@@ -14,11 +14,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
@@ -26,10 +24,12 @@ from pyspark.sql import functions as F
 
 from komagrid.llm import codepoints, lang, lines
 from komagrid.llm.langid import MIN_CONFIDENCE, _table
+from komagrid.session import cut
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
-BUCKETS = 1 << 16
 BIN = 0.05
+#: Sentences and contexts counted by a worker before they are handed on.
+LOCAL_SENTENCES, LOCAL_CONTEXTS = 100_000, 500_000
 
 # Stand-ins for a missing translation (squashed to letters and digits).
 STAND_INS = frozenset(
@@ -61,11 +61,10 @@ SPEAKING = ("transl", "this request", "this content", "this passage", "this entr
             "chính sách", "yêu cầu này", "翻", "번역", "tradu", "перев", "bersetz", "terjemah")
 
 
-def _context(words: list[str], i: int) -> tuple[int, int]:
-    """Buckets of the last word alone and with the word before it."""
+def _context(words: list[str], i: int) -> tuple[str, str]:
+    """The last word alone and with the word before it."""
     last = words[i]
-    two = (words[i - 1] if i else "^") + " " + last
-    return zlib.crc32(last.encode()) % BUCKETS, zlib.crc32(two.encode()) % BUCKETS
+    return last, (words[i - 1] if i else "^") + " " + last
 
 
 def _open(text: str) -> bool:
@@ -79,62 +78,67 @@ def _parts(text: str, title: lines.Title | None, known: frozenset[str]) -> tuple
     return body, [s for s in lang.sentences(body) if WORD.search(s)]
 
 
-def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
-    """Counts over all pairs: contexts of words and of sentence ends by target language, and lengths by script and target."""
+def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> tuple[DataFrame, dict]:
+    """Counts over all pairs: (target, k, n, final) of word contexts and of those that end a sentence, checkpointed, and the
+    usual lengths by script and target."""
     shared = pairs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends: dict[str, np.ndarray] = {}
         lengths: Counter = Counter()
         titles = shared.value
-        seen: dict[str, list[tuple[list[int], list[int]]]] = {}
+        seen: Counter = Counter()
+        every: Counter = Counter()
+        final: Counter = Counter()
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return _table(rows, ["kind", "target", "k", "n", "final"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])
+
+        def spread() -> None:
+            for (target, s), n in seen.items():
+                words = WORD.findall(s)
+                if all(SOUND.match(w) for w in words):
+                    continue
+                for i in range(len(words)):
+                    for k in _context(words, i):
+                        every[target, k] += n
+                if lang.ends(s) and not _open(s):
+                    for k in _context(words, len(words) - 1):
+                        final[target, k] += n
+            seen.clear()
+
+        def contexts() -> Iterator[pa.RecordBatch]:
+            items = list(every.items())
+            for i in range(0, len(items), 50_000):
+                yield table([("context", target, k, n, final[target, k]) for (target, k), n in items[i : i + 50_000]])
+            every.clear()
+            final.clear()
+
         for batch in batches:
             targets = batch.column(2).to_pylist()
             for source, text, target in zip(batch.column(0).to_pylist(), (t.lower() for t in codepoints.unify_texts(batch.column(1))), targets, strict=True):
                 if not text or target is None:
                     continue
-                table = ends.get(target)
-                if table is None:
-                    table = ends[target] = np.zeros((2, 2 * BUCKETS), np.int64)
                 body, parts = _parts(text, None, titles)
                 for s in parts:
-                    got = seen.get(s)
-                    if got is None:
-                        words = WORD.findall(s)
-                        every = [b for i in range(len(words)) for b in _context(words, i)]
-                        if all(SOUND.match(w) for w in words):
-                            every, final = [], []
-                        else:
-                            final = list(_context(words, len(words) - 1)) if lang.ends(s) and not _open(s) else []
-                        if len(seen) >= lang.MEMO:
-                            seen.clear()
-                        got = seen[s] = ([b + BUCKETS * (k % 2) for k, b in enumerate(every)], [b + BUCKETS * (k % 2) for k, b in enumerate(final)])
-                    every, final = got
-                    table[0][every] += 1
-                    table[1][final] += 1
+                    seen[target, s] += 1
                 if len(source) >= 8 and len(body) >= 8:
                     lengths[lang.script_of(source), target, round(math.log(len(body) / len(source)) / BIN)] += 1
-        rows = []
-        for target, table in ends.items():
-            for k in np.flatnonzero(table[0]).tolist():
-                rows.append(("context", target, k, int(table[0][k]), int(table[1][k])))
-        rows += [(f"length-{script}", target, k, n, 0) for (script, target, k), n in lengths.items()]
-        yield _table(rows, ["kind", "target", "k", "n", "final"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()])
-
-    part = pairs.select("source", "translation", "target_lang").mapInArrow(run, "kind string, target string, k bigint, n bigint, final bigint")
-    # at most 2 * BUCKETS rows per target language, whatever the corpus
-    total = part.groupBy("kind", "target", "k").agg(F.sum("n").alias("n"), F.sum("final").alias("final")).toArrow()
-    contexts: dict[str, np.ndarray] = {}
-    lengths: dict[tuple[str, str], list[tuple[int, int]]] = {}
-    kinds, targets, ks, ns, finals = (total.column(c).to_pylist() for c in ("kind", "target", "k", "n", "final"))
-    for kind, target, k, n, final in zip(kinds, targets, ks, ns, finals, strict=True):
-        if kind == "context":
-            table = contexts.setdefault(target, np.zeros((2, 2 * BUCKETS), np.int32))
-            table[:, k] = min(n, 1 << 30), min(final, 1 << 30)
-        else:
-            lengths.setdefault((kind[7:], target), []).append((k, n))
+            if len(seen) > LOCAL_SENTENCES:
+                spread()
+            if len(every) > LOCAL_CONTEXTS:
+                yield from contexts()
+        spread()
+        yield from contexts()
+        yield table([(f"length-{script}", target, str(k), n, 0) for (script, target, k), n in lengths.items()])
+
+    part = pairs.select("source", "translation", "target_lang").mapInArrow(run, "kind string, target string, k string, n bigint, final bigint")
+    total = cut(part.groupBy("kind", "target", "k").agg(F.sum("n").alias("n"), F.sum("final").alias("final")))
+    # lengths are few: a bin for each script, target language and proportion
+    counts: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for kind, target, k, n in total.where("kind <> 'context'").select("kind", "target", "k", "n").collect():
+        counts.setdefault((kind[7:], target), []).append((int(k), n))
     usual = {}
-    for key, counted in lengths.items():
+    for key, counted in counts.items():
         counted.sort()
         half, run_ = sum(n for _, n in counted) / 2, 0
         for k, n in counted:
@@ -142,15 +146,15 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> dict:
             if run_ >= half:
                 usual[key] = k * BIN
                 break
-    return {"contexts": contexts, "lengths": usual}
+    return total.where("kind = 'context'").select("target", "k", "n", "final"), usual
 
 
 class Judge:
     """Judges pairs; made once per task."""
 
-    def __init__(self, dictionaries: dict[str, bytes], statistics: dict, titles: dict[str, lines.Title]) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], lengths: dict, titles: dict[str, lines.Title]) -> None:
         self.classify = lang.Classifier(dictionaries)
-        self.contexts, self.lengths = statistics["contexts"], statistics["lengths"]
+        self.lengths = lengths
         self.titles, self.known = titles, frozenset(t.flat for t in titles.values())
         # sentences of one word that the corpus knows as sentences, not as names
         self.said = {lines.squash(x) for raw in dictionaries.values() for x in raw.decode("utf-8", "ignore").split("\n") if len(x) <= 40}
@@ -209,20 +213,9 @@ class Judge:
         alone = max(1, len(self.plain.compress(raw)) - self.frame)
         return min(len(r.compress(raw)) - self.frame for r in self.refusals) <= 0.75 * alone or len(lang.sentences(text)) <= 3
 
-    def ends_here(self, target: str, sentence: str) -> tuple[float, int]:
-        """(share of the last words' occurrences that end a sentence, how often they occur), without this one."""
-        table = self.contexts.get(target)
-        words = WORD.findall(sentence)
-        if table is None or not words:
-            return 0.0, 0
-        one, two = _context(words, len(words) - 1)
-        n, final = int(table[0, BUCKETS + two]) - 1, int(table[1, BUCKETS + two])
-        if n < 3:
-            n1, f1 = int(table[0, one]) - 1, int(table[1, one])
-            return (min(f1, n1) / n1 if n1 > 0 else 0.0), max(n1, 0)
-        return min(final, n) / n, n
-
-    def truncated(self, source: str, s_parts: list[str], text: str, t_parts: list[str], target: str) -> bool:
+    def truncated(self, source: str, s_parts: list[str], text: str, t_parts: list[str], target: str) -> bool | tuple[str, str, bool, float]:
+        """Whether a text stops too early, or what that hangs on: its last word, that with the one before, whether the source
+        ends, and the length."""
         if not t_parts:
             return True
         s_ends, t_ends, s_open, t_open = lang.ends(source), lang.ends(text), _open(source), _open(text)
@@ -230,22 +223,24 @@ class Judge:
             return False
         usual = self.lengths.get((lang.script_of(source), target))
         length = math.exp(math.log(max(len(text), 1) / max(len(source), 1)) - usual) if usual is not None else 1.0
-        share, n = self.ends_here(target, t_parts[-1])
         fewer = len(t_parts) < len(s_parts)
+        words = WORD.findall(t_parts[-1])
         if not t_ends:
             if re.search(r"[,;:，、]\s*$", text) and not re.search(r"[,;:，、]\s*$", source):
                 return True
             if s_ends:
-                return not (share >= 0.5 and n >= 5 and not fewer and length > 0.7)
-            return (share < 0.2 and length < (0.92 if n < 2 else 0.85)) or (fewer and length < 0.8)
+                return True if fewer or length <= 0.7 else (*_context(words, len(words) - 1), True, length)
+            if fewer and length < 0.8:
+                return True
+            return (*_context(words, len(words) - 1), False, length) if length < 0.92 else False
         if t_open and not s_open:
-            return not (share >= 0.5 and n >= 5 and not fewer and length > 0.6)
+            return True if fewer or length <= 0.6 else (*_context(words, len(words) - 1), True, length)
         if fewer and length < 0.87:
             return True
         return False
 
-    def __call__(self, source: str, text: str | None, target: str, manga: str | None) -> str | None:
-        """The defect of a pair of unified texts, or none."""
+    def __call__(self, source: str, text: str | None, target: str, manga: str | None) -> str | tuple[str, str, bool, float] | None:
+        """The defect of a pair of unified texts, or none, or what hangs on the counts of its last context."""
         title = self.titles.get(manga)
         low = source.lower()
         body, s_parts = _parts(low, title, self.known)
@@ -277,17 +272,34 @@ class Judge:
                 return "wrong_language"
         elif script != "latin" and target in lang.BY_SCRIPT["latin"]:
             return "wrong_language"
-        if self.truncated(body, s_parts, t_body, t_parts, target):
-            return "truncated"
-        return None
+        cut_off = self.truncated(body, s_parts, t_body, t_parts, target)
+        return ("truncated" if cut_off else None) if isinstance(cut_off, bool) else cut_off
+
+
+def stopped(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Of the pairs whose defect hangs on their last context, those that are truncated.
+
+    Evidence is the share of the context's other occurrences that end a sentence: of the last two words, or of the last
+    word where the two are found fewer than three times.
+    """
+    counts = lambda k: contexts.select("target", F.col("k").alias(k), F.struct("n", "final").alias(f"of_{k}"))
+    met = doubtful.join(counts("two"), ["target", "two"], "left").join(counts("one"), ["target", "one"], "left")
+    n_two, n_one = (F.coalesce(F.col(f"of_{k}.n") - 1, F.lit(0)) for k in ("two", "one"))
+    final = lambda k: F.coalesce(F.col(f"of_{k}.final"), F.lit(0))
+    n = F.when(n_two < 3, n_one).otherwise(n_two)
+    met = met.withColumn("seen", F.greatest(n, F.lit(0))).withColumn("ends", F.least(F.when(n_two < 3, final("one")).otherwise(final("two")), F.col("seen")))
+    share = F.when(F.col("seen") > 0, F.col("ends") / F.col("seen")).otherwise(F.lit(0.0))
+    early = (share < 0.2) & (F.col("length") < F.when(F.col("seen") < 2, 0.92).otherwise(0.85))
+    cut_off = F.when(F.col("ended"), ~((share >= 0.5) & (F.col("seen") >= 5))).otherwise(early)
+    return met.where(cut_off).select("record_kind", "record_id", F.lit("truncated").alias("defect"))
 
 
 def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
     """(record_kind, record_id, defect), distinct. ``pairs``: record_kind, record_id, source, translation, target_lang, manga_id."""
     pairs = pairs.where("record_id is not null and source is not null").select("record_kind", "record_id", "source", "translation", "target_lang", "manga_id")
     known = frozenset(t.flat for t in titles.values())
-    statistics = corpus_statistics(pairs, known)
-    shared = pairs.sparkSession.sparkContext.broadcast((dictionaries, statistics, titles))
+    contexts, lengths = corpus_statistics(pairs, known)
+    shared = pairs.sparkSession.sparkContext.broadcast((dictionaries, lengths, titles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(*shared.value)
@@ -296,11 +308,15 @@ def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str,
             rows = []
             for kind, i, source, text, target, m in zip(kinds, ids, codepoints.unify_texts(batch.column(2)), codepoints.unify_texts(batch.column(3)), targets, manga, strict=True):
                 defect = judge(source, text, target, m)
-                if defect:
-                    rows.append((kind, i, defect))
-            yield _table(rows, ["record_kind", "record_id", "defect"], [pa.string(), pa.int64(), pa.string()])
-
-    found = pairs.mapInArrow(run, "record_kind string, record_id bigint, defect string")
+                if isinstance(defect, tuple):
+                    rows.append((kind, i, None, target, *defect))
+                elif defect:
+                    rows.append((kind, i, defect, None, None, None, None, None))
+            yield _table(rows, names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64()])
+
+    names = ["record_kind", "record_id", "defect", "target", "one", "two", "ended", "length"]
+    judged = cut(pairs.mapInArrow(run, "record_kind string, record_id bigint, defect string, target string, one string, two string, ended boolean, length double"))
+    found = judged.where("defect is not null").select("record_kind", "record_id", "defect").unionByName(stopped(judged.where("defect is null"), contexts))
     # a record that comes in several versions has the first of their defects
     rank = F.array_position(F.array(*[F.lit(d) for d in DEFECTS]), F.col("defect"))
     return found.groupBy("record_kind", "record_id").agg(F.min_by("defect", rank).alias("defect"))

@@ -46,3 +46,18 @@ def test_long_texts(spark):
     rows = [("region_info", 1, text, text, "vi", None, 0), ("region_info", 2, JA * 2000, EN * 2000, "en", None, 0)]
     got = {r.record_id: r.defect for r in pairs.defects(spark.createDataFrame(rows, SCHEMA), lang.dictionaries(SAMPLES), {}).collect()}
     assert got == {1: "copy"}
+
+
+def test_contexts_are_counted_exactly(spark):
+    # two contexts that shared one of 65,536 buckets
+    import zlib
+
+    first: dict[int, str] = {}
+    for n in range(10_000):
+        two = f"w{n} kazu"
+        other = first.setdefault(zlib.crc32(two.encode()) % 65_536, two)
+        if other != two:
+            break
+    rows = [("region_info", i, JA, f"The rain says {x}.", "en", None, 0) for i, x in enumerate([two] * 6 + [f"{other} again"] * 4)]
+    contexts, _ = pairs.corpus_statistics(spark.createDataFrame(rows, SCHEMA), frozenset())
+    assert {r.k: (r.n, r.final) for r in contexts.collect() if r.k in (two, other)} == {two: (6, 6), other: (4, 0)}
