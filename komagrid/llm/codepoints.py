@@ -195,62 +195,59 @@ def _compose(points: np.ndarray, begins: np.ndarray, was_mark: np.ndarray, forms
     apart = {int(c): d for c in np.unique(points[joined]) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and not 0xAC00 <= c < 0xD7A4}
     if apart:
         extra = np.zeros(len(points), np.int64)
-        at_base = joined[np.isin(points[joined], np.array(list(apart), np.uint32))]
-        extra[at_base] = [len(apart[int(c)]) - 1 for c in points[at_base]]
+        # one gather for each distinct character, however often it stands
+        places = {c: joined[points[joined] == c] for c in apart}
+        for c, d in apart.items():
+            extra[places[c]] = len(d) - 1
         at = np.zeros(len(points) + 1, np.int64)
         np.cumsum(1 + extra, out=at[1:])
         wide, was_mark = np.repeat(points, 1 + extra), np.repeat(was_mark, 1 + extra)
-        for i in at_base:
-            wide[at[i] : at[i + 1]] = [ord(c) for c in apart[int(points[i])]]
+        for c, d in apart.items():
+            for i, x in enumerate(d):
+                wide[at[places[c]] + i] = ord(x)
         points, begins = wide, at[begins]
-    first = np.zeros(len(points) + 1, bool)
-    first[begins] = True
-    for _ in range(16):  # canonical order: a mark may pass one of a higher class, never a text's end
-        c = ccc[points]
-        swap = np.flatnonzero((c[:-1] > c[1:]) & (c[1:] > 0) & ~first[1 : len(points)])
-        swap = swap[np.r_[True, np.diff(swap) > 1]] if len(swap) else swap
-        if not len(swap):
-            break
-        for values in (points, was_mark):
-            values[swap], values[swap + 1] = values[swap + 1].copy(), values[swap].copy()
+    # canonical order: the marks behind a starter (or a text's start) by their class, equal ones as they stand
+    c = ccc[points]
+    starts = c == 0
+    starts[begins[begins < len(points)]] = True
+    if ((c[:-1] > c[1:]) & ~starts[1:]).any():
+        order = np.argsort(np.cumsum(starts) * 256 + c, kind="stable")
+        points, was_mark = points[order], was_mark[order]
     while len(points) > 1:
-        k = kind[points]
-        base, mark = k[:-1], k[1:]
-        inside = np.ones(len(points), bool)
-        inside[begins[(begins > 0) & (begins < len(points))]] = False  # a text's first code point never joins the text before
-        inside = inside[1:]
-        out = np.zeros(len(points) - 1, np.uint32)
-        jamo = ((base & L_JAMO) > 0) & ((mark & V_JAMO) > 0)
-        out[jamo] = 0xAC00 + ((points[:-1][jamo] - 0x1100) * 21 + (points[1:][jamo] - 0x1161)) * 28
-        lv = ((mark & T_JAMO) > 0) & (points[:-1] >= 0xAC00) & (points[:-1] < 0xD7A4)
-        lv[lv] = (points[:-1][lv] - 0xAC00) % 28 == 0
-        out[lv] = points[:-1][lv] + points[1:][lv] - 0x11A7
-        marks = np.flatnonzero((mark & MARK) > 0)
-        if len(marks):
-            keys = points[marks].astype(np.int64) << 21 | points[marks + 1]
-            found = np.minimum(np.searchsorted(t["pairs"], keys), len(t["pairs"]) - 1)
-            hit = t["pairs"][found] == keys
-            out[marks[hit]] = t["composed"][found[hit]]
-        hits = np.flatnonzero((out > 0) & inside)
-        step = 1
-        if not len(hits) and len(points) > 2:
-            # over one mark of a lower class that has no composed character with the base
-            two = np.flatnonzero(((mark[:-1] & MARK) > 0) & ((mark[1:] & MARK) > 0) & inside[:-1] & inside[1:])
-            two = two[(ccc[points[two + 1]] < ccc[points[two + 2]]) & (ccc[points[two + 1]] > 0)]
-            keys = points[two].astype(np.int64) << 21 | points[two + 2]
-            found = np.minimum(np.searchsorted(t["pairs"], keys), len(t["pairs"]) - 1)
-            two, found = two[t["pairs"][found] == keys], found[t["pairs"][found] == keys]
-            out[two] = t["composed"][found]
-            hits, step = two, 2
-        if not len(hits):
+        # each mark meets the starter before it unless a mark of its own class stands between
+        k, c, here = kind[points], ccc[points], np.arange(len(points))
+        text_start = np.zeros(len(points), bool)
+        text_start[begins[begins < len(points)]] = True
+        starter = np.maximum.accumulate(np.where((c == 0) | text_start, here, 0))
+        right = here[1:][~text_start[1:] & ((k[1:] & (MARK | V_JAMO | T_JAMO)) > 0)]
+        base = starter[right - 1]
+        open_ = (base == right - 1) | ((c[right] > 0) & (c[right - 1] < c[right]))
+        right, base = right[open_ & (c[base] == 0)], base[open_ & (c[base] == 0)]
+        if not len(right):
+            break
+        first, second = points[base], points[right]
+        out = np.zeros(len(right), np.uint32)
+        jamo = ((k[base] & L_JAMO) > 0) & ((k[right] & V_JAMO) > 0)
+        out[jamo] = 0xAC00 + ((first[jamo] - 0x1100) * 21 + (second[jamo] - 0x1161)) * 28
+        lv = ((k[right] & T_JAMO) > 0) & (first >= 0xAC00) & (first < 0xD7A4)
+        lv[lv] = (first[lv] - 0xAC00) % 28 == 0
+        out[lv] = first[lv] + second[lv] - 0x11A7
+        keys = first.astype(np.int64) << 21 | second
+        found = np.minimum(np.searchsorted(t["pairs"], keys), len(t["pairs"]) - 1)
+        pair = t["pairs"][found] == keys
+        out[pair] = t["composed"][found[pair]]
+        right, base, out = right[out > 0], base[out > 0], out[out > 0]
+        if not len(right):
             break
-        hits = hits[np.r_[True, np.diff(hits) > step]]  # of two that overlap, the first now and the other in the next pass
+        # of a starter's marks the first, and no starter that is itself joined in this pass
+        one = np.r_[True, base[1:] != base[:-1]] & ~np.isin(base, right)
+        right, base, out = right[one], base[one], out[one]
         flags = np.zeros(len(points), bool)
-        flags[hits + step] = was_mark[hits + step]
+        flags[right] = was_mark[right]
         _flag(forms, flags, begins, COMBINING)
-        points[hits] = out[hits]
+        points[base] = out
         stay = np.ones(len(points), bool)
-        stay[hits + step] = False
+        stay[right] = False
         begins = _keep(stay, begins)
         points, was_mark = points[stay], was_mark[stay]
     return points, begins
@@ -319,9 +316,16 @@ def _lookalikes(points: np.ndarray, begins: np.ndarray, forms: np.ndarray) -> np
         numeral = np.isin(points, np.array([ord(c) for c in "一二八千"], np.uint32))
         swap = han & ((before & after) | (before & ~next_han & ~numeral) | (after & ~prev_han & ~numeral))
         eight = han & (points == ord("八")) & ((before & ~next_han) | (after & ~prev_han & ~before))
-        for i in np.flatnonzero(eight & ~swap):
-            follow = "".join(map(chr, points[i + 1 : i + 7]))
-            swap[i] = before[i] or not follow.startswith(KATAKANA_COUNTERS)
+        rest = np.flatnonzero(eight & ~swap)
+        if len(rest):
+            until = np.repeat(begins[1:], np.diff(begins))[rest]
+            counted = np.zeros(len(rest), bool)
+            for word in KATAKANA_COUNTERS:
+                same = rest + len(word) < until  # within the text
+                for j, c in enumerate(word, 1):
+                    same &= points[np.minimum(rest + j, len(points) - 1)] == ord(c)
+                counted |= same
+            swap[rest[before[rest] | ~counted]] = True
         points[swap] = t["to_katakana"][points[swap]]
         hits |= swap
     kata = (t["to_han"][points] > 0) & ((k & KATAKANA) > 0)

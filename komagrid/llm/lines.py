@@ -38,39 +38,71 @@ class Title(NamedTuple):
 
     flat: str
     probe: str
+    short: bool = False
 
 
 def titles(manga: DataFrame) -> dict[str, Title]:
     """The title of each manga: a dimension of at most ``MAX_TITLES`` rows."""
     rows = bounded_rows(manga.select("id", "title"), MAX_TITLES, "manga")
-    return {i: Title(flat, max(WORD.findall(title.lower()), key=len)) for i, title in rows if i and title and len(flat := squash(title)) >= 5}
+    return {
+        i: Title(flat, max(WORD.findall(title.lower()), key=len), len(flat) < (3 if CJK.search(flat) else 5))
+        for i, title in rows
+        if i and title and (flat := squash(title))
+    }
 
 
-HEADER_BEFORE = re.compile(r"^(?:\d+|(?:chapter|ch|volume|vol|episode|ep)\d+)+")
-HEADER_AFTER = re.compile(r"(?:(?:chapter|ch|volume|vol|episode|ep|page|p)?\d+)+$")
+def known_titles(titles: dict[str, Title]) -> frozenset[str]:
+    """The squashed titles that a line alone is known by."""
+    return frozenset(t.flat for t in titles.values() if not t.short)
+
+
+NUMBER_WORDS = ("chapter", "ch", "volume", "vol", "episode", "ep", "page", "p")
+HEADER_BEFORE = re.compile(r"^(?:\d|(?:chapter|ch|volume|vol|episode|ep)(?=\d))++")
+NUMBER_MARKS = " \t-–—~·•[](|)<>«»*="
+
+
+def _without_number(flat: str) -> str:
+    """A squashed line without one number, and the word before it, at its end."""
+    bare = flat.rstrip("0123456789")
+    if len(bare) == len(flat):
+        return flat
+    return next((bare[: -len(w)] for w in NUMBER_WORDS if bare.endswith(w)), bare)
 
 
 def is_header(line: str, title: Title | None, known: frozenset[str] = frozenset(), most_rest: int = 40) -> bool:
     """Whether a line is a running header: the text's own title, or one of the ``known`` ones (squashed) where the text's
-    is not known, with nothing but chapter, number and presenter around it."""
+    is not known, with nothing but chapter, number and presenter around it. A title too short to be more than a word
+    needs such a number or presenter beside it."""
     if title is not None:
-        if len(line) > 160 or title.probe not in line.lower():
+        if title.probe not in line.lower():
             return False
         flat = squash(line)
         at = flat.find(title.flat)
         if at < 0:
             return False
         rest = flat[:at] + flat[at + len(title.flat) :]
+        if title.short:
+            return 0 < len(rest) <= most_rest and any(c.isdigit() for c in rest) and bool(HEADER_REST.match(rest))
         return len(rest) <= 6 or (len(rest) <= most_rest and bool(HEADER_REST.match(rest) or flat[:at].endswith("presents")))
-    if not known or len(line) > 120 or CJK.search(line) or (len(line) > 50 and SENTENCE_END.search(line)):
+    if not known or CJK.search(line) or (len(line) > 50 and SENTENCE_END.search(line)):
         return False
-    core = HEADER_AFTER.sub("", HEADER_BEFORE.sub("", squash(line)))
-    return core in known or ("presents" in core and core.partition("presents")[2] in known)
+    core = HEADER_BEFORE.sub("", squash(line))
+    while True:
+        if core in known or ("presents" in core and core.partition("presents")[2] in known):
+            return True
+        shorter = _without_number(core)
+        if shorter == core:
+            return False
+        core = shorter
 
 
 def is_page_number(line: str) -> bool:
     """Whether a line is a page number and nothing else."""
-    return len(line) <= 24 and (bool(PAGE_NUMBER.match(line)) or (bool(line.strip()) and bool(ROMAN.match(line))))
+    core = line.strip(NUMBER_MARKS)
+    if len(core) > 24:  # the longest word for a page, two numbers of four digits and what is between them; blanks as one
+        if not core[-1].isdigit() or len(core := " ".join(core.split())) > 24:
+            return False
+    return bool(core) and (bool(PAGE_NUMBER.match(core)) or bool(ROMAN.match(core)))
 
 
 def body_lines(text: str, title: Title | None, known: frozenset[str] = frozenset()) -> list[str]:

@@ -54,7 +54,10 @@ DECLINES = re.compile(
     r"|không thể|từ chối|không dịch được|vi phạm|không (?:được phép|có đủ|đủ)|できません|できない|无法|不能|없습니다|할 수 없|no puedo|não posso|je ne peux|non posso|kann (?:ich )?(?:das |dies)?.*nicht|не могу|tidak (?:bisa|dapat)"
 )
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-SOUND = re.compile(r"^(?:[hm]+|h?[uao]+h*|(?:h[aeo])+h?|(?:ah)+|(?:oh)+|e+h|u+gh|t?s+k|sh+|wow|huh|hừm|ồ|ơ|[うおあえんーっはへほふ]+|[ふうん]+|[おハはフ]+|[아오어으흠음하허호흐]+|[嗯哦啊哈呵哎唉咦喔噢]+|(?:ха)+|х?м+|о+х?|а+х?|uf+|ай|ой|ja|je)+$")
+#: Sounds made of syllables; each place has one way on, so that a long word is read once.
+SOUND = re.compile(
+    r"^(?:he(?!e)|hừm|[hm]|e++h|u(?:gh|f++)?|[ao]|wow|t?s++k|sh|j[ae]|[ồơ]|[うおあえんーっはへほふハフ]|[아오어으흠음하허호흐]|[嗯哦啊哈呵哎唉咦喔噢]|х(?=[ам])|(?<=[оа])х|[мао]|(?<=[ао])й)++$"
+)
 DRESS = re.compile(r"^\W*(?:translation|translated text|translated|output|answer|result|response|bản dịch|dịch|english|vietnamese|en|vi)\s*[:：]\s*", re.IGNORECASE)
 # One of these is in every text that speaks of translating.
 SPEAKING = ("transl", "this request", "this content", "this passage", "this entry", "this dialogue", "this text", "this bubble", "language model", "guideline", "polic", "as an ai", "render", "dịch", "mô hình", "nguyên tắc",
@@ -155,7 +158,7 @@ class Judge:
     def __init__(self, dictionaries: dict[str, bytes], lengths: dict, titles: dict[str, lines.Title]) -> None:
         self.classify = lang.Classifier(dictionaries)
         self.lengths = lengths
-        self.titles, self.known = titles, frozenset(t.flat for t in titles.values())
+        self.titles, self.known = titles, lines.known_titles(titles)
         # sentences of one word that the corpus knows as sentences, not as names
         self.said = {lines.squash(x) for raw in dictionaries.values() for x in raw.decode("utf-8", "ignore").split("\n") if len(x) <= 40}
         self.small = zs.ZstdCompressionParameters(window_log=14, chain_log=8, hash_log=11, search_log=2, min_match=3, target_length=16, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False)
@@ -297,7 +300,7 @@ def stopped(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
 def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
     """(record_kind, record_id, defect), distinct. ``pairs``: record_kind, record_id, source, translation, target_lang, manga_id."""
     pairs = pairs.where("record_id is not null and source is not null").select("record_kind", "record_id", "source", "translation", "target_lang", "manga_id")
-    known = frozenset(t.flat for t in titles.values())
+    known = lines.known_titles(titles)
     contexts, lengths = corpus_statistics(pairs, known)
     shared = pairs.sparkSession.sparkContext.broadcast((dictionaries, lengths, titles))
 

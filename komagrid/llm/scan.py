@@ -145,7 +145,7 @@ def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        title, known = shared.value, frozenset(t.flat for t in shared.value.values())
+        title, known = shared.value, lines.known_titles(shared.value)
         seen: dict[str, Counter] = {k: Counter() for k in "wgchb"}
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ class Repairer:
     """Finds and repairs the noise of one text; made once per task."""
 
     def __init__(self, titles: dict[str, lines.Title], verdicts: dict[str, dict[str, str]]) -> None:
-        self.titles, self.known = titles, frozenset(t.flat for t in titles.values())
+        self.titles, self.known = titles, lines.known_titles(titles)
         self.words, self.windows, self.cuts = (verdicts.get(k, {}) for k in "wgh")
         middles = {k[1:2] for k in self.windows}
         self.middles = re.compile("[" + re.escape("".join(sorted(middles))) + "]") if middles else None

@@ -43,14 +43,14 @@ def test_forms(text, unified, found):
     assert forms(text) == found
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aeoᄀ가ᅡᆨéậ゙̣́̂カ漢​ 😀x")), max_size=6))
 def test_batches_are_the_same_as_single_texts(texts):
     together = cp.unify_texts(pa.array(texts, pa.string()))
     assert together == [cp.unify_texts(pa.array([t], pa.string()))[0] for t in texts]
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aeoubcvnéậặ́́̂̈ .")))
 def test_composition_is_canonical(text):
     got = cp.unify_texts(pa.array([text]))[0]

@@ -61,3 +61,31 @@ def test_contexts_are_counted_exactly(spark):
     rows = [("region_info", i, JA, f"The rain says {x}.", "en", None, 0) for i, x in enumerate([two] * 6 + [f"{other} again"] * 4)]
     contexts, _ = pairs.corpus_statistics(spark.createDataFrame(rows, SCHEMA), frozenset())
     assert {r.k: (r.n, r.final) for r in contexts.collect() if r.k in (two, other)} == {two: (6, 6), other: (4, 0)}
+
+
+def test_hostile_words_are_read_once():
+    import time
+
+    from komagrid.llm import lines
+
+    began = time.perf_counter()
+    assert pairs.SOUND.match("ha" * 10_000)
+    assert not pairs.SOUND.match("ha" * 10_000 + "z")
+    assert not pairs.SOUND.match("heh" * 10_000 + "z")
+    assert not lines.is_header("a" + "1" * 10_000 + "b", None, frozenset({"somewhere"}))
+    assert not lines.is_page_number("1 " * 10_000 + "x")
+    assert time.perf_counter() - began < 0.5
+
+
+def test_headers_of_any_length():
+    from komagrid.llm import lines
+
+    long_title = "the very long tale " * 12
+    title = lines.Title(lines.squash(long_title), "tale")
+    assert lines.is_header(long_title + " Chapter 12", title)
+    assert lines.is_header(long_title + " Chapter 12", None, frozenset({title.flat}))
+    assert lines.is_header("Chapter 3 Blade 2 p 17", None, frozenset({"blade2"}))
+    short = lines.Title("run", "run", True)
+    assert lines.is_header("Run - Chapter 5", short) and not lines.is_header("Run!", short)
+    assert lines.is_header("銀色の森 第3話", lines.Title("銀色の森", "銀色の森"), most_rest=40)
+    assert lines.is_page_number("- - - - - - - - - - - - 112 - - - - - - - - - - -")
