@@ -58,6 +58,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores before Python goes through it, where its files give fewer tasks than there are cores.
+
+    Large tables have more splits than cores and stay as they are; results do not depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that is small by its meaning; more than ``limit`` rows is an error, not a truncation."""
     rows = df.limit(limit + 1).collect()
