@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from komagrid.llm import codepoints, lang, lines
+from komagrid.session import cut, spread
 
 #: Share of a record's judged text that its language must have.
 MAJORITY = 0.6
@@ -80,7 +81,7 @@ def document_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataF
             yield _table(out, ["doc_id", "label", "lang", "share", "confidence", "mixed"], [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string())])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "lang", "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, label string, lang string, share double, confidence double, mixed array<string>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, label string, lang string, share double, confidence double, mixed array<string>")
 
 
 def segments(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -107,7 +108,7 @@ def segments(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             yield _table(out, ["doc_id", "segment", "lang", "confidence", "n_sentences"], [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, n_sentences int")
+    return spread(rows).mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, n_sentences int")
 
 
 def region_languages(regions: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
@@ -139,7 +140,7 @@ def region_languages(regions: DataFrame, dictionaries: dict[str, bytes], titles:
             yield _table(out, ["kind", "key", "lang", "letters"], [pa.string(), pa.string(), pa.string(), pa.float64()])
 
     rows = regions.select("region_id", "chapter_id", "manga_id", "text").where("text is not null")
-    return rows.mapInArrow(run, "kind string, key string, lang string, letters double")
+    return spread(rows).mapInArrow(run, "kind string, key string, lang string, letters double")
 
 
 def issues(languages: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -159,8 +160,6 @@ def chapter_languages(votes: DataFrame) -> DataFrame:
 
 def find(documents: DataFrame, chapters: DataFrame, regions: DataFrame, manga: DataFrame, residue: DataFrame) -> DataFrame:
     """(record_kind, record_id, issue, lang) over all three tables; ``residue`` has the doc_ids left out."""
-    from komagrid.session import cut
-
     dictionaries = lang.fit(documents)
     of_docs = document_languages(documents, dictionaries)
     bad_label = issues(of_docs.where("mixed is null"), "doc_id")

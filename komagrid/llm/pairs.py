@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from komagrid.llm import codepoints, lang, lines
 from komagrid.llm.langid import MIN_CONFIDENCE, _table
-from komagrid.session import cut
+from komagrid.session import cut, spread
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 BIN = 0.05
@@ -300,6 +300,7 @@ def stopped(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
 def defects(pairs: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
     """(record_kind, record_id, defect), distinct. ``pairs``: record_kind, record_id, source, translation, target_lang, manga_id."""
     pairs = pairs.where("record_id is not null and source is not null").select("record_kind", "record_id", "source", "translation", "target_lang", "manga_id")
+    pairs = spread(pairs)
     known = lines.known_titles(titles)
     contexts, lengths = corpus_statistics(pairs, known)
     shared = pairs.sparkSession.sparkContext.broadcast((dictionaries, lengths, titles))

@@ -5,8 +5,9 @@ that kept its variable name, default or blank if its delimiters have no other us
 in such delimiters, or if records of the same surroundings hold different names there. Error pages and script notices
 are lines that open the way such pages do, or, whatever their wording, lines whose masked form stands alone as whole
 pages and whose windows of words occur in no other line: prose that repeats shares its windows with lines that hold other
-names or neighbours. Phrases name the kind of such a page. Stand-in prose is known by its phrases and by a vocabulary grown from its seed words over the whole corpus. A line that speaks of such things inside
-a story neither opens so nor stands alone.
+names or neighbours. Phrases name the kind of such a page. Stand-in prose is known by its phrases, by a vocabulary grown
+from its seed words over the whole corpus, and by letters that stand together in no language (keys struck at random).
+A line that speaks of such things inside a story neither opens so nor stands alone.
 
 Defined results: a null or empty text is no case; a document has one kind, the first of error_page, script_notice,
 placeholder, filler; repeated rows of a document count once; texts are read whole.
@@ -15,15 +16,21 @@ placeholder, filler; repeated rows of a document count once; texts are read whol
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from komagrid.session import cut
+from komagrid.llm import lang
+from komagrid.session import cut, spread
 
 KINDS = ("error_page", "script_notice", "placeholder", "filler")
 
@@ -56,8 +63,6 @@ ERROR_OPENINGS = (
     r"^服务器[^\n]{0,30}(?:忙|维护|错误|稍后|无响应)", r"^(?:您|你)(?:访问|请求|要找)的(?:页面|网页)", r"^(?:访问被拒绝|页面不存在|网站正在维护|系统维护|服务暂时不可用|服务不可用|请求过多)",
     r"^서버[^\n]{0,30}(?:점검|오류|응답|혼잡)", r"^(?:요청하신|찾으시는) 페이지", r"^(?:접근이 거부|접속이 거부|페이지를 찾을 수 없|서비스(?:를|가)? ?(?:일시|이용))", r"^(?:Сервис|Сайт|Страница)[^\n]{0,30}(?:недоступ|не найден|обслуживани)",
 )
-ERROR_LOOSE = r"\b[45]\d\d\b|error|fehler|erreur|erro\b|errore|galat|lỗi|ошибк|エラー|错误|오류|unavailable|disponib|dispon[ií]vel|verfügbar|недоступ|not found|gefunden|encontrad|trovat|introuvable|ditemukan|tìm thấy|見つかりません|不存在|찾을 수|denied|try again|retry|reload|maintenance|bảo trì|점검|混み合|server|サーバー|服务器|서버|сервер|rate limited"
-
 # Stand-in phrases.
 FILLER_LINES = (
     r"^(?:your |the |some |a |my )?(?:[^\W\d_]|[' ]){1,30} (?:goes|go|comes|will go|to go) here\b", r"^(?:your|sample|dummy|placeholder|example|filler) (?:text|content|title|description|copy)\b[^.!?]{0,20}(?:here)?[.!]?",
@@ -77,7 +82,7 @@ def any_of(patterns: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(f"(?:{p})" for p in patterns), re.IGNORECASE)
 
 
-SCRIPT, ASK, OPENING, LOOSE = any_of((SCRIPT_WORDS,)), any_of((SCRIPT_ASK,)), any_of(ERROR_OPENINGS), any_of((ERROR_LOOSE,))
+SCRIPT, ASK, OPENING = any_of((SCRIPT_WORDS,)), any_of((SCRIPT_ASK,)), any_of(ERROR_OPENINGS)
 PHRASE, DEFAULT = any_of(FILLER_LINES), any_of((FILLER_DEFAULT,))
 # What a text must hold (in lower case) for its lines to be looked at.
 LINE_SIGNS = ("script", "スクリプト", "스크립트", "скрипт", "error", "fehler", "erreur", "erro", "galat", "kesalahan", "lỗi", "ошибк", "エラー", "错误", "錯誤", "오류", "에러", "unavailable", "available", "disponib", "indispon", "verfügbar", "erreichbar",
@@ -92,17 +97,53 @@ BLANK = re.compile(r"^_{4,}$|^\[\s+\]$")
 NOT_ALNUM = re.compile(r"[\W_]+")
 DIGITS = re.compile(r"\d+")
 MASKED = re.compile(r"(?<![0-9A-Za-z])[A-Za-z]*\d[0-9A-Za-z]*")
-STOP = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*(?=\S)")
+STOP = re.compile(r"(?<=[.!?)])\s+|(?<=[。！？])\s*(?=\S)")
 PIECE = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_぀-ヿ㐀-鿿]+|#")
 NOTICE = re.compile(SCRIPT_WORDS + r"|\bjs\b|\bscripts?\b", re.IGNORECASE)
 SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
 LATIN = re.compile(r"[a-z]+")
 SEEDS = frozenset(SURE_SEEDS)
-COLUMNS = "doc_id string, kind string, value string, around string, sure boolean, n_seeds int, words array<string>"
+COLUMNS = "doc_id string, kind string, value string, around string, sure boolean, n_seeds int, words array<string>, hashes array<bigint>"
 #: Windows of whole-page templates that are broadcast; more of them are joined by shuffle.
 MOST_WINDOWS = 2_000_000
 #: A template's least number of windows, of its pages, and the parts of its documents and of its windows.
 LEAST_WINDOWS, LEAST_ALONE, PART_ALONE, PART_SHARED = 3, 2, 0.25, 0.2
+#: A window is shared if it stands in other lines this many times as often as the template stands anywhere.
+PART_ELSEWHERE = 0.3
+#: Lines of so many words and letters are tried for letters that stand together in no language, up to this share of them.
+JUNK_WORDS, JUNK_LETTERS, JUNK_SHARE = 5, 24, 0.45
+
+
+def h64(text: str) -> int:
+    """A 64-bit hash as a signed number."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+@lru_cache(maxsize=1)
+def letter_pairs() -> frozenset[str]:
+    """The pairs of letters of words in Latin script, of all languages' ordinary sentences together."""
+    words = {w for text in lang.SEED.values() for w in LATIN.findall(unicodedata.normalize("NFD", text)) if w}
+    count = Counter(a + b for w in words for a, b in pairwise(w))
+    return frozenset(count)
+
+
+@lru_cache(maxsize=200_000)
+def _known_pairs(word: str) -> tuple[int, int]:
+    """(pairs of letters that a language has, all pairs) of a word; none for what is no word in Latin letters."""
+    word = word.strip(".,;:!?\"'()")
+    return (sum(a + b in letter_pairs() for a, b in pairwise(word)), len(word) - 1) if LATIN.fullmatch(word) else (0, 0)
+
+
+def is_junk(line: str) -> bool:
+    """Whether a line in lower case is of keys struck at random: many of its pairs of letters are in no language."""
+    tokens = line.split()
+    if len(tokens) < JUNK_WORDS:
+        return False
+    counted = [_known_pairs(x) for x in tokens]
+    words, pairs = sum(n > 0 for _, n in counted), sum(n for _, n in counted)
+    if words < JUNK_WORDS or pairs + words < JUNK_LETTERS or words < 0.9 * len(tokens):
+        return False
+    return sum(k for k, _ in counted) <= JUNK_SHARE * pairs
 
 
 def openings(line: str) -> list[str]:
@@ -127,12 +168,12 @@ def layout(text: str) -> Iterator[tuple]:
     """The openings of all lines of a text ('lines'), and what may be a whole page ('page': opening, lines below)."""
     parts = [x for line in re.split(r"[\r\n]+", text) if (x := line.strip())]
     every = [openings(x) for x in parts]
-    yield "lines", None, None, None, None, list({x for line in every for x in line})
+    yield "lines", None, None, None, None, None, list({h64(x) for line in every for x in line})
     # a page: the line, a title above it, what may be footers below it
     for at in range(2 if len(parts) <= 4 else 0):
         if at < len(parts) <= at + 3 and not (PHRASE.search(parts[at]) or DEFAULT.search(parts[at]) or len(SEEDS.intersection(LATIN.findall(parts[at].lower()))) >= 2):
             for x in every[at]:
-                yield "page", x, "\n".join(o[-1] for o in every[at + 1 :]), None, None, None
+                yield "page", x, "\n".join(o[-1] for o in every[at + 1 :]), None, None, None, [h64(x)]
 
 
 class Scanner:
@@ -168,8 +209,6 @@ class Scanner:
                     yield "script_notice", masked, None, alone, None, None
                 elif OPENING.search(said):
                     yield "error_page", masked, None, alone, None, None
-                elif LOOSE.search(said):
-                    yield "line", masked, None, alone, None, None
             if signs & 2:
                 if PHRASE.search(said):
                     yield "filler", None, None, True, None, None
@@ -178,6 +217,8 @@ class Scanner:
                 tokens = said.split(None, 3)
                 if len(tokens) >= 3 and tokens[0] == tokens[1] == tokens[2] and PHRASE.search(said):
                     yield "filler", None, None, True, None, None
+            if len(said) >= JUNK_LETTERS and said.isascii() and is_junk(said.lower()):
+                yield "filler", None, None, True, None, None
         if defaults >= 2 or (defaults and len(parts) <= 2):
             yield "filler", None, None, True, None, None
         if signs & 4:
@@ -194,74 +235,87 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner()
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
-        names = ["doc_id", "kind", "value", "around", "sure", "n_seeds", "words"]
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        names = ["doc_id", "kind", "value", "around", "sure", "n_seeds", "words", "hashes"]
         for batch in batches:
-            rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in chain(scan(text), layout(text))]
+            rows = [
+                (i, *found, *[None] * (7 - len(found)))
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for found in chain(scan(text), layout(text))
+            ]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    found = docs.mapInArrow(run, COLUMNS)
-    lines = F.col("kind") == "lines"
-    return found.withColumn("hashes", F.when(lines, F.transform("words", lambda x: F.xxhash64(x)))).withColumn("words", F.when(~lines, F.col("words")))
+    return docs.mapInArrow(run, COLUMNS)
+
 
+def line_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(w, covers, n): the wanted windows in all lines, with the openings of the line that hold them, and how often.
 
-def line_windows(docs: DataFrame) -> DataFrame:
-    """(w, covers): the windows of every line, with the openings of the line that hold them, all as hashes."""
+    Up to ``MOST_WINDOWS`` wanted ones are held by each worker, so only lines that have one go on; more are joined.
+    """
+    held = None
+    if wanted.count() <= MOST_WINDOWS:
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[str] = set()
+        keys = set(held.value.tolist()) if held is not None else None
+        hashed: dict[str, int] = {}
         for batch in batches:
+            counted = Counter(x for text in batch.column(1).to_pylist() for line in re.split(r"[\r\n]+", text) if (x := line.strip()))
             rows = []
-            for text in batch.column(1).to_pylist():
-                for line in re.split(r"[\r\n]+", text):
-                    line = line.strip()
-                    if not line or line in known:
-                        continue
-                    if len(known) >= 200_000:
-                        known.clear()
-                    known.add(line)
-                    heads = openings(line)
-                    for i, sentence in enumerate(STOP.split(heads[-1])):
-                        if found := windows(sentence):
-                            rows.append((found, heads[i:] if i < len(heads) else heads[-1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)], names=["windows", "covers"])
-
-    each = docs.mapInArrow(run, "windows array<string>, covers array<string>")
-    return each.select(F.explode("windows").alias("w"), F.transform("covers", lambda x: F.xxhash64(x)).alias("covers")).select(F.xxhash64("w").alias("w"), "covers")
+            for line, n in counted.items():
+                heads = None
+                for i, sentence in enumerate(STOP.split(MASKED.sub("#", SPEAKER.sub("", line)))):
+                    if len(hashed) > 500_000:
+                        hashed.clear()
+                    found = []
+                    for w in windows(sentence):
+                        if (h := hashed.get(w)) is None:
+                            h = hashed[w] = h64(w)
+                        if keys is None or h in keys:
+                            found.append(h)
+                    if found:
+                        heads = heads or [h64(x) for x in openings(line)]
+                        rows.append((found, heads[i:] if i < len(heads) else heads[-1:], n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.int64())), (2, pa.int64()))], names=["ws", "covers", "n"])
+
+    each = docs.mapInArrow(run, "ws array<bigint>, covers array<bigint>, n bigint")
+    each = each.select(F.explode(F.array_distinct("ws")).alias("w"), "covers", "n").groupBy("w", "covers").agg(F.sum("n").alias("n"))
+    return each if held is not None else each.join(wanted, "w", "left_semi")
 
 
 def templates(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, h): masked lines that stand alone as whole pages and share their windows with no other line."""
-    usual = found.where("kind = 'lines'").select("doc_id", "hashes").distinct().select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    page = found.where("kind = 'page'").select("doc_id", "value", F.xxhash64("value").alias("h"), F.expr("if(around = '', array(), split(around, '\n'))").alias("below")).distinct()
-    page = cut(page)
-    maybe = page.groupBy("value", "h").agg(F.countDistinct("doc_id").alias("a")).where(F.col("a") >= LEAST_ALONE).join(usual, "h").where(F.col("a") >= PART_ALONE * F.col("n"))
+    page = found.where("kind = 'page'").select("doc_id", "value", F.col("hashes")[0].alias("h"), F.expr("if(around = '', array(), split(around, '\n'))").alias("below"))
+    page = cut(page.distinct())
+    alone_at_all = cut(page.groupBy("value", "h").agg(F.countDistinct("doc_id").alias("a")).where(F.col("a") >= LEAST_ALONE))
+    usual = found.where("kind = 'lines'").select(F.explode("hashes").alias("h")).join(alone_at_all.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    maybe = alone_at_all.join(usual, "h").where(F.col("a") >= PART_ALONE * F.col("n"))
     footer = page.select("doc_id", "h", F.explode("below").alias("value")).groupBy("value").agg(F.countDistinct("h").alias("heads"), F.countDistinct("doc_id").alias("docs")).where("heads >= 2 and docs >= 2")
-    pool = maybe.select("value", "h", "n").unionByName(footer.select("value", F.xxhash64("value").alias("h"), F.lit(None).cast("bigint").alias("n")))
-    pool = cut(pool.groupBy("value", "h").agg(F.max("n").alias("n")))
+    pool = maybe.select("value", F.lit(True).alias("head"), F.col("n").alias("n")).unionByName(footer.select("value", F.lit(False).alias("head"), F.col("docs").alias("n")))
+    pool = pool.groupBy("value").agg(F.max("n").alias("n"), F.max("head").alias("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, w) for h, value in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) for w in {w for s in STOP.split(value) for w in windows(s)}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["h", "w"])
+            values = batch.column(0).to_pylist()
+            own = [list({h64(w) for s in STOP.split(value) for w in windows(s)}) for value in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h64(v) for v in values], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["value", "n", "head", "h", "ws"])
 
-    own = cut(pool.select("value", "h").mapInArrow(run, "h bigint, w string").select("h", F.xxhash64("w").alias("w")))
-    wanted = own.select("w").distinct()
-    if wanted.count() <= MOST_WINDOWS:
-        wanted = F.broadcast(wanted)
-    met = line_windows(docs).join(wanted, "w").distinct().withColumn("place", F.monotonically_increasing_id())
-    met = cut(met)
+    pool = cut(pool.mapInArrow(run, "value string, n bigint, head boolean, h bigint, ws array<bigint>"))
+    own = pool.select("h", "n", F.explode("ws").alias("w"))
+    met = cut(line_windows(docs, own.select("w").distinct()).withColumn("place", F.monotonically_increasing_id()))
     covered = met.select("place", F.explode("covers").alias("h")).join(pool.select("h"), "h", "left_semi").select("place").distinct()
-    elsewhere = met.join(covered, "place", "left_anti").select("w").distinct().withColumn("shared", F.lit(1))
-    judged = own.join(elsewhere, "w", "left").groupBy("h").agg(F.count("*").alias("n_windows"), F.sum(F.coalesce("shared", F.lit(0))).alias("n_shared"))
-    closed = cut(pool.join(judged.where(F.col("n_shared") <= PART_SHARED * F.col("n_windows")), "h"))
+    elsewhere = met.join(covered, "place", "left_anti").groupBy("w").agg(F.sum("n").alias("others"))
+    shared = F.coalesce(F.col("others"), F.lit(0)) > PART_ELSEWHERE * F.col("n")
+    judged = own.join(elsewhere, "w", "left").groupBy("h").agg(F.count("*").alias("n_windows"), F.count_if(shared).alias("n_shared"))
+    closed = cut(pool.drop("ws").join(judged.where(F.col("n_shared") <= PART_SHARED * F.col("n_windows")), "h"))
     # pages again, with nothing below but footers
     known = closed.select(F.col("value").alias("foot"))
     below = page.where("size(below) > 0").select("doc_id", "h", F.size("below").alias("size"), F.posexplode("below").alias("at", "foot"))
     footed = below.join(known, "foot", "left_semi").groupBy("doc_id", "h", "size").count().where("count = size").select("doc_id", "h")
     alone = page.where("size(below) = 0").select("doc_id", "h").unionByName(footed).distinct().groupBy("h").agg(F.count("*").alias("n_alone"))
-    whole = closed.where((F.col("n_windows") >= LEAST_WINDOWS) & F.col("n").isNotNull()).join(alone, "h")
+    whole = closed.where((F.col("n_windows") >= LEAST_WINDOWS) & F.col("head")).join(alone, "h")
     return whole.where((F.col("n_alone") >= LEAST_ALONE) & (F.col("n_alone") >= PART_ALONE * F.col("n"))).select("value", "h")
 
 
@@ -279,12 +333,8 @@ def pages(found: DataFrame, docs: DataFrame) -> DataFrame:
     whole = templates(found, docs)
     kind = F.when(F.col("value").rlike("(?iu)" + NOTICE.pattern), F.lit("script_notice")).otherwise(F.lit("error_page"))
     held = found.where("kind = 'lines'").select("doc_id", F.explode("hashes").alias("h")).join(whole.select("h", kind.alias("residue")), "h").select("doc_id", "residue")
-    # whole pages repeat: the template of a line that is mostly seen alone, or below a title
-    loose = found.where("kind = 'line'")
-    seen = loose.groupBy("value").agg(F.count("*").alias("n"), F.count_if("sure").alias("n_alone"))
-    repeated = seen.where("n_alone >= 2 and n_alone * 10 >= 4 * n").select("value")
     strict = found.where("kind in ('script_notice', 'error_page')").select("doc_id", F.col("kind").alias("residue"))
-    return strict.unionByName(held).unionByName(loose.join(repeated, "value", "left_semi").select("doc_id", F.lit("error_page").alias("residue")))
+    return strict.unionByName(held)
 
 
 def fillers(found: DataFrame) -> DataFrame:
@@ -305,7 +355,7 @@ def fillers(found: DataFrame) -> DataFrame:
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, residue): the documents that hold residue, with its one kind."""
     kind = docs.schema[doc_id].dataType
-    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    source = spread(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
     found = cut(candidates(source))
     every = (
         pages(found, source)

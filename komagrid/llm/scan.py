@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from komagrid.llm import codepoints, lines
 from komagrid.llm.langid import _table
-from komagrid.session import cut
+from komagrid.session import cut, spread
 
 NOISES = ("hyphen_break", "misread", "running_header", "page_number")
 P = (1 << 61) - 1
@@ -135,7 +135,7 @@ def cuts(body: str) -> list[tuple[str, str, str, str, int, int]]:
 
 
 def _fields(regions: DataFrame) -> DataFrame:
-    return regions.where("region_id is not null").select(F.col("region_id").cast("bigint"), "manga_id", "text", "translation")
+    return spread(regions.where("region_id is not null").select(F.col("region_id").cast("bigint"), "manga_id", "text", "translation"))
 
 
 def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:

@@ -57,3 +57,28 @@ def test_pages_in_any_wording(spark):
     rows += ["The robot only says beep when it is very hungry."] * 2 + [f"Line {c}.\nThe robot only says beep when it is very hungry.\nEnd {c}." for c in "abcdefg"]
     got = {r.doc_id: r.residue for r in rs.residue(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(3), "error_page") | dict.fromkeys(range(3, 6), "script_notice")
+
+
+def test_footers_in_the_same_line_and_trace_ids(spark):
+    page = "Internal exception while rendering view 'chapter' (trace {})"
+    rows = [page.format("7d111cf1"), "My Title\n" + page.format("6eab16"), page.format("49a666") + " Retry\nShe ran.\nNo.\nYes.\nSo.", page.format("1bd848")]
+    assert {r.doc_id: r.residue for r in rs.residue(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()} == dict.fromkeys(range(4), "error_page")
+
+
+@pytest.mark.parametrize(
+    ("line", "junk"),
+    [
+        ("jff wwq sjqflfd qqjdlw kwj slask asdd qqed fee", True), ("Nopizu taught me how to hold a sword and a lamp.", False), ("ref 8tddz agr pg16 nsw19 qqw kkf jjw wqd", False),
+        ("Jutro wszystko moze byc inne, powiedzial stary kapitan.", False), ("qwx", False), ("", False),
+    ],
+)
+def test_keys_struck_at_random(line, junk):
+    assert rs.is_junk(line.lower()) == junk
+
+
+def test_a_slot_repeated_by_many_hands(spark):
+    """Templates in words that no list holds, repeated thousands of times, are found by repetition alone."""
+    rows = [(i, f"Der Vorhang bleibt heute zu, Platz {i}, komm ein andermal wieder.") for i in range(3000)]
+    rows += [(5000 + i, f"Erzählung {i}. Der Wind trug den Sand über Haus {i} hinweg, und niemand sprach.\nEin Absatz.\nNoch einer.\nDas Ende {i}.\nNachwort.") for i in range(50)]
+    got = {r.doc_id for r in rs.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(3000))
