@@ -119,15 +119,19 @@ def _ends(before: list[str]) -> bool:
     return not before or bool(re.search(r"[.!?…。！？\"」』”)]\s*$", before[0]))
 
 
-def paragraph(lines: list[str]) -> str:
-    """Lines put together: no blank between lines of a script that has none, cut words made whole."""
+def paragraph(lines: list[str], join_cut: bool = True) -> str:
+    """Lines put together: no blank between lines of a script that has none. Words that a line end cuts are made whole, or
+    keep their hyphen where that is left to evidence (``join_cut=False``)."""
     if len(lines) == 1:
         return lines[0].strip()
-    text = CUT_WORD.sub("", "\n".join(lines))
+    text = "\n".join(lines)
+    text = CUT_WORD.sub("", text) if join_cut else CUT_WORD.sub(lambda m: m.group()[0], text)
     parts = LINE_END.split(text)
-    out = parts[0]
+    out = [parts[0]]
+    tail = parts[0]
     for part in parts[1:]:
-        tight = out and part and (CJK.match(out[-1]) or (out[-1].isdigit() and CJK.search(out[-6:]))) and (CJK.match(part[0]) or (part[0].isdigit() and CJK.search(part[:6])))
-        glue = "" if tight else " "
-        out += glue + part
-    return out.strip()
+        tight = tail and part and (CJK.match(tail[-1]) or (tail[-1].isdigit() and CJK.search(tail[-6:]))) and (CJK.match(part[0]) or (part[0].isdigit() and CJK.search(part[:6])))
+        out.append("" if tight else " ")
+        out.append(part)
+        tail = part if len(part) >= 6 else tail[-6:] + ("" if tight else " ") + part
+    return "".join(out).strip()

@@ -5,10 +5,13 @@ texts. In SQL, rare words meet frequent ones through anagram hashes: the hash of
 powers of its characters, so a confusion of characters is a fixed difference, and a rare word joins the frequent word
 whose hash differs by the confusions it can hold; cut words are judged by whether the joined or the hyphenated
 form occurs elsewhere. Then every text is gone through once with these verdicts: edge lines off, words joined, ranked
-corrections applied.
+corrections applied. Up to ``MOST_VERDICTS`` of them are held by each worker; of more, each text is given those that
+it can need by a join on their keys, behind a Bloom filter of fixed size. Both ways give the same result.
 
 Defined results: a null, empty or wordless text has no noise but a page number or header; a text made of marks stays
-as it is; rows of one region_id with different texts give the noise of each; extra columns are ignored.
+as it is; rows of one region_id with different texts give the noise of each; extra columns are ignored; a hyphen at a
+line end stays where nothing says that it cuts a word (compounds, stammering); a word with a digit inside is misread only
+if the word it is a misreading of occurs.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +35,14 @@ NOISES = ("hyphen_break", "misread", "running_header", "page_number")
 P = (1 << 61) - 1
 #: How many times as frequent as a misreading its word must be: for letters, and for digits or signs inside a word.
 RATIO, RATIO_SIGN = 10, 2
-#: Verdicts held by a worker at a time; more of them are gone through in slices.
+#: How many times as frequent as a misread window its right form must be, and from how many occurrences on this is enough;
+#: below, the windows of two characters on both sides must say so too.
+RATIO_WINDOW, STEADY, RATIO_FEW = 25, 40, 2
+#: Verdicts held by each worker; with more of them, texts meet theirs by join.
 MOST_VERDICTS = 400_000
-LOCAL_WORDS = 500_000
+#: Bits of the filter before that join.
+FILTER_BITS = 63 << 21
+LOCAL_WORDS, LOCAL_TEXTS, MEMO = 500_000, 20_000, 100_000
 
 # What characters are misread as, right and wrong.
 CONFUSIONS = (
@@ -54,13 +64,13 @@ MARK_ALONE = re.compile(rf"(?<!\S)[{STRAY}]+(?!\S)")
 PAIRED = re.compile(r"\[([^\[\]\n]+)\]|\{([^{}\n]+)\}|<([^<>\n]+)>")
 MARK_ATTACHED = re.compile(rf"(?<=[^\W_])[.,!?…]?[{STRAY}]+(?=\s|$|[.,!?…])|(?<=[.,!?…。！？])[|¦_\\~^=<>{{}}\[\]`*]+(?=\s|$)|(?<!\S)[|¦_\\~^=<>{{}}\[\]`]+(?=[^\W\d_])")
 MARK_CJK = re.compile(r"(?<=[぀-ヿ㐀-鿿。、！？])\s?[|¦_\\~^=<>{}\[\]`*#]+\s?(?=[぀-ヿ㐀-鿿。、！？]|$)")
-CUT = re.compile(r"([^\W\d_]+)([-‐¬=])(\s*)([^\W\d_]+)")
+CUT = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([-‐¬=])(\s*)([^\W\d_]+)")
 MARK = re.compile("[-‐¬=]")
+AFTER = re.compile(r"[\w£€]*")
 EDGE = ".,!?…:;\"'«»¿¡()“”‘’—–-。！？、，・「」『』（）：；" + "|¦_\\~^=<>{}[]`*#•·"
-SIGN_INSIDE = re.compile(r"[a-zà-ɏа-яё][0-9€£$|][a-zà-ɏа-яё]")
 WORDISH = re.compile(r"[a-zà-ɏḀ-ỿа-яё]")
 WINDOWED = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-TOKEN = re.compile(r"[0-9€£]*[a-zà-ɏḀ-ỿа-яё][a-zà-ɏḀ-ỿа-яё0-9€£]*(?:['’|$][a-zà-ɏḀ-ỿа-яё0-9€£]+)*")
+TOKEN = re.compile(r"(?:(?<![0-9€£])[0-9€£]++)?[a-zà-ɏḀ-ỿа-яё][a-zà-ɏḀ-ỿа-яё0-9€£]*(?:['’|$][a-zà-ɏḀ-ỿа-яё0-9€£]+)*")
 SUSPECT = re.compile(rf"[{STRAY}0-9$]")
 STAMMER = re.compile(r"^([^\W\d_])-(?=\1)")
 DIGIT = re.compile(r"\d+")
@@ -85,6 +95,12 @@ def confusions() -> list[tuple[str, str, str, int, bool]]:
     return out
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def tokens(text: str) -> list[str]:
     """Words of scripts with letters (a text in lower case), without the marks around them."""
     return TOKEN.findall(text)
@@ -128,25 +144,33 @@ def cuts(body: str) -> list[tuple[str, str, str, str, int, int]]:
         return out
     for m in CUT.finditer(body):
         left, mark, blank, right = m.groups()
-        if len(left) == 1 and right[:1] == left and not blank:
+        if len(left) == 1 and right[:1] == left:  # stammering
             continue
         out.append((left, mark, "1" if blank else "0", right, m.start(), m.end()))
     return out
 
 
+def _before(body: str, at: int) -> str:
+    """What of a word stands right before a place."""
+    start = at
+    while start and (body[start - 1].isalnum() or body[start - 1] in "_£€"):
+        start -= 1
+    return body[start:at]
+
+
 def _fields(regions: DataFrame) -> DataFrame:
     return spread(regions.where("region_id is not null").select(F.col("region_id").cast("bigint"), "manga_id", "text", "translation"))
 
 
 def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
-    """(kind, key, h, n): words (w), their pairs (b), windows (g), hyphenated forms (c) and cut words (h), checkpointed."""
+    """(kind, key, h, n): words (w), their pairs (b), windows (g), hyphenated forms (c), cut words (h) and those joined (j), checkpointed."""
     shared = regions.sparkSession.sparkContext.broadcast(titles)
     names = ["kind", "key", "h", "n"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         title, known = shared.value, lines.known_titles(shared.value)
-        seen: dict[str, Counter] = {k: Counter() for k in "wgchb"}
+        seen: dict[str, Counter] = {k: Counter() for k in "wgchbj"}
 
         def rows() -> Iterator[pa.RecordBatch]:
             for kind, counter in seen.items():
@@ -155,34 +179,47 @@ def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
                     part = items[i : i + 50_000]
                     if kind == "b":
                         part = [("\t".join(k), n) for k, n in part]
-                    yield _table([(kind, k, anagram(k) if kind in "wg" else None, n) for k, n in part], names, types)
+                    yield _table([(kind, k, anagram(k) if kind in "wgj" else None, n) for k, n in part], names, types)
                 counter.clear()
 
+        def spread_out() -> None:
+            # each distinct text once, however often it came
+            for body, n in bodies.items():
+                if found := cuts(body):
+                    for left, mark, blank, right, a, b in found:
+                        seen["h"][f"{left}\t{mark}\t{blank}\t{right}"] += n
+                        seen["j"][_before(body, a) + left + right + AFTER.match(body, b).group()] += n
+                        if blank == "0":
+                            seen["c"][left + "-" + right] += n
+                    for *_, a, b in reversed(found):
+                        if body[a:b].split() != [body[a:b]]:
+                            body = body[:a] + " " + body[b:]
+                words = tokens(body)
+                followed = zip(words, words[1:], strict=False)
+                around = windows(lines.paragraph(body.split("\n"))) if WINDOWED.search(body) else ()
+                if n == 1:
+                    seen["w"].update(words)
+                    seen["b"].update(followed)
+                    seen["g"].update(around)
+                else:
+                    for kind, keys in (("w", words), ("b", followed), ("g", around)):
+                        counter = seen[kind]
+                        for k in keys:
+                            counter[k] += n
+            bodies.clear()
+
+        bodies: Counter = Counter()
         for batch in batches:
             manga = batch.column(1).to_pylist()
             for column in (2, 3):
                 for m, text in zip(manga, codepoints.unify_texts(batch.column(column)), strict=True):
-                    if not text:
-                        continue
-                    rest, _, _ = edge_lines(text, title.get(m), known)
-                    if not rest:
-                        continue
-                    body = "\n".join(rest).lower()
-                    if found := cuts(body):
-                        for left, mark, blank, right, _, _ in found:
-                            seen["h"][f"{left}\t{mark}\t{blank}\t{right}"] += 1
-                            if blank == "0":
-                                seen["c"][left + "-" + right] += 1
-                        for *_, a, b in reversed(found):
-                            if body[a:b].split() != [body[a:b]]:
-                                body = body[:a] + " " + body[b:]
-                    words = tokens(body)
-                    seen["w"].update(words)
-                    seen["b"].update(zip(words, words[1:], strict=False))
-                    if WINDOWED.search(body):
-                        seen["g"].update(windows(lines.paragraph(body.split("\n"))))
+                    if text and (rest := edge_lines(text, title.get(m), known)[0]):
+                        bodies[lowered("\n".join(rest))] += 1
+            if len(bodies) > LOCAL_TEXTS:
+                spread_out()
             if sum(map(len, seen.values())) > LOCAL_WORDS:
                 yield from rows()
+        spread_out()
         yield from rows()
 
     part = _fields(regions).mapInArrow(run, "kind string, key string, h bigint, n bigint")
@@ -197,8 +234,10 @@ def misreadings(counts: DataFrame) -> DataFrame:
     grams = F.array(*[entry(x) for x in pairs if x[0] == "g" and not "ᄀ" <= x[1] < "ሀ"])
     vowels = F.array(*[entry(x) for x in pairs if x[0] == "g" and "ᄀ" <= x[1] < "ሀ"])
     bigrams = counts.where("kind = 'b'").select(F.split("key", "\t").alias("p"), F.col("n").alias("b")).select(F.col("p")[0].alias("one"), F.col("p")[1].alias("two"), "b")
+    # a cut word may be misread as well
+    joined = counts.where("kind = 'j'").join(counts.where("kind = 'w'").select("key"), "key", "left_anti").select(F.lit("w").alias("kind"), "key", "h", "n")
     counts = counts.where("kind in ('w', 'g')")
-    rare = counts.withColumn("middle", F.when(F.col("kind") == "g", F.substring("key", 2, 1)).otherwise(F.col("key")))
+    rare = counts.unionByName(joined).withColumn("middle", F.when(F.col("kind") == "g", F.substring("key", 2, 1)).otherwise(F.col("key")))
     hangul = F.col("middle").rlike("^[가-힣]$")
     holds = (
         F.when(F.col("kind") == "w", F.filter(words, lambda x: F.contains(F.col("key"), x["w"])))
@@ -219,15 +258,14 @@ def misreadings(counts: DataFrame) -> DataFrame:
     frequent = counts.where("n >= 3").select("kind", "h", F.col("key").alias("to"), F.col("n").alias("to_n"))
     same_place = (F.col("kind") == "w") | ((F.substring("key", 1, 1) == F.substring("to", 1, 1)) & (F.substring("key", 3, 1) == F.substring("to", 3, 1)))
     clean = ~F.col("to").rlike(r"[0-9€£$|]") | (F.col("kind") == "g")
-    enough = F.col("to_n") >= F.col("n") * F.when(F.col("sign"), F.lit(RATIO_SIGN)).when(F.col("kind") == "g", F.lit(25)).when(F.col("errors") == 2, F.lit(2 * RATIO)).otherwise(F.lit(RATIO))
-    steady = (F.col("kind") == "w") | (F.col("to_n") >= 40)
+    enough = F.col("to_n") >= F.col("n") * F.when(F.col("kind") == "g", F.lit(RATIO_FEW)).when(F.col("sign"), F.lit(RATIO_SIGN)).when(F.col("errors") == 2, F.lit(2 * RATIO)).otherwise(F.lit(RATIO))
     matched = guesses.join(frequent, ["kind", "h"]).where(
-        enough & steady & clean & same_place & (F.col("to") != F.col("key")) & (F.length("to") == F.length("key") + F.col("grown"))
+        enough & clean & same_place & (F.col("to") != F.col("key")) & (F.length("to") == F.length("key") + F.col("grown"))
         & (F.levenshtein("key", "to") <= F.when(F.col("kind") == "g", 1).otherwise(2 * F.col("errors"))) & (F.length("to") >= F.when(F.col("kind") == "w", 3).otherwise(3))
     )
     # ranked: the fewest errors, then the most frequent form
-    ranked = cut(matched.groupBy("kind", "key").agg(F.max_by(F.struct("to", "n", "sign"), F.struct(-F.col("errors"), "to_n", "to")).alias("x")).select("kind", "key", "x.*"))
-    sure = ranked.where("sign or kind = 'g'")
+    ranked = cut(matched.groupBy("kind", "key").agg(F.max_by(F.struct("to", "n", "to_n", "sign"), F.struct(-F.col("errors"), "to_n", "to")).alias("x")).select("kind", "key", "x.*"))
+    sure = ranked.where("sign and kind = 'w'").select("kind", "key", "to").unionByName(_windows_backed(ranked.where("kind = 'g'"), counts))
     # a word of letters only may be one of another language: its neighbours must be those of the frequent word
     doubt = ranked.where("not sign and kind = 'w'")
 
@@ -237,18 +275,39 @@ def misreadings(counts: DataFrame) -> DataFrame:
         return seen.join(usual, ["to", "near"]).where(F.col("usual") >= 3 * F.col("b")).groupBy("key").agg((F.sum("b") / F.max("n")).alias("share"))
 
     backed = beside("one", "two").unionByName(beside("two", "one")).where("share >= 0.5").select("key").distinct()
-    return sure.select("kind", "key", "to").unionByName(doubt.join(backed, "key", "left_semi").select("kind", "key", "to"))
+    return sure.unionByName(doubt.join(backed, "key", "left_semi").select("kind", "key", "to"))
+
+
+def _windows_backed(ranked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(kind, key, to) of windows whose right form is frequent enough, by itself or with both of its halves."""
+    grams = counts.where("kind = 'g'")
+    side = lambda at: grams.groupBy(F.substring("key", at, 2).alias("two")).agg(F.sum("n").alias("m"))
+    many = (F.col("to_n") >= STEADY) & (F.col("to_n") >= RATIO_WINDOW * F.col("n"))
+    few = ranked.where(~many)
+    for at, name in ((1, "left"), (2, "right")):
+        halves = side(at)
+        for form in ("key", "to"):
+            few = few.withColumn("two", F.substring(form, at, 2)).join(halves.withColumnRenamed("m", f"{name}_{form}"), "two").drop("two")
+    backed = few.where(F.col("left_to") >= RATIO * F.col("left_key")).where(F.col("right_to") >= RATIO * F.col("right_key"))
+    return ranked.where(many).select("kind", "key", "to").unionByName(backed.select("kind", "key", "to"))
 
 
 def cut_words(counts: DataFrame) -> DataFrame:
-    """(kind 'h', key, to): cut words whose joined form is meant, by where joined and hyphenated forms occur."""
-    cand = counts.where("kind = 'h'").select("key", F.split("key", "\t").alias("p"), F.col("n"))
-    cand = cand.select("key", "n", F.col("p")[1].alias("mark"), (F.col("p")[2] == "1").alias("blank"), F.concat(F.col("p")[0], F.col("p")[3]).alias("joined"), F.concat_ws("-", F.col("p")[0], F.col("p")[3]).alias("hyphened"))
-    whole = counts.where("kind = 'w'").select(F.col("key").alias("joined"), F.col("n").alias("j"))
-    hyphened = counts.where("kind = 'c'").select(F.col("key").alias("hyphened"), F.col("n").alias("c"))
-    both = cand.join(whole, "joined", "left").join(hyphened, "hyphened", "left").select("key", "mark", "blank", "joined", F.coalesce("j", F.lit(0)).alias("j"), F.coalesce("c", F.lit(0)).alias("c"))
-    meant = F.col("mark").isin("¬", "=") | F.when(F.col("blank"), (F.col("j") >= F.col("c")) | (F.col("c") == 0)).otherwise((F.col("j") >= 3) & (F.col("j") >= 10 * F.col("c")))
-    return both.where(meant).select(F.lit("h").alias("kind"), "key", F.col("joined").alias("to"))
+    """(kind 'h', key, to): cut words whose joined form is meant, by where joined and hyphenated forms occur.
+
+    Where neither occurs, a line end cuts a word unless both parts are words of their own, as in a compound or a stammer.
+    """
+    part = lambda i: F.col("p")[i]
+    cand = counts.where("kind = 'h'").select("key", F.split("key", "\t").alias("p"))
+    cand = cand.select("key", part(0).alias("one"), part(1).alias("mark"), (part(2) == "1").alias("blank"), part(3).alias("two"), F.concat(part(0), part(3)).alias("joined"), F.concat_ws("-", part(0), part(3)).alias("hyphened"))
+    words = counts.where("kind = 'w'").select("key", "n")
+    hyphened = counts.where("kind = 'c'").select("key", "n")
+    for name, among in (("joined", words), ("hyphened", hyphened), ("one", words), ("two", words)):
+        cand = cand.join(among.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
+    j, c, one, two = (F.coalesce(f"n_{x}", F.lit(0)) for x in ("joined", "hyphened", "one", "two"))
+    at_line_end = F.when((j == 0) & (c == 0), (one == 0) | (two == 0)).otherwise(j >= c)
+    meant = F.col("mark").isin("¬", "=") | F.when(F.col("blank"), at_line_end).otherwise((j >= 3) & (j >= 10 * c))
+    return cand.where(meant).select(F.lit("h").alias("kind"), "key", F.col("joined").alias("to"))
 
 
 class Repairer:
@@ -256,45 +315,72 @@ class Repairer:
 
     def __init__(self, titles: dict[str, lines.Title], verdicts: dict[str, dict[str, str]]) -> None:
         self.titles, self.known = titles, lines.known_titles(titles)
+        self.hold(verdicts)
+
+    def hold(self, verdicts: dict[str, dict[str, str]]) -> None:
+        """Judge by these verdicts from now on."""
         self.words, self.windows, self.cuts = (verdicts.get(k, {}) for k in "wgh")
         middles = {k[1:2] for k in self.windows}
         self.middles = re.compile("[" + re.escape("".join(sorted(middles))) + "]") if middles else None
+        self.memo: dict[str, tuple[str, ...]] = {}
+
+    def tests(self, text: str, manga: str | None) -> set[tuple[str, str]]:
+        """(kind, key) of all verdicts that a unified text can need, whatever they say."""
+        body = lowered("\n".join(edge_lines(text, self.titles.get(manga), self.known)[0]))
+        out: set[tuple[str, str]] = set()
+        bodies = [body]
+        if found := cuts(body):
+            out.update(("h", f"{left}\t{mark}\t{blank}\t{right}") for left, mark, blank, right, _, _ in found)
+            # words and windows of the text as it is, and with each cut word joined
+            bodies += [body[:a] + left + right + body[b:] for left, _, _, right, a, b in found]
+            whole = body
+            for left, _, _, right, a, b in reversed(found):
+                whole = whole[:a] + left + right + whole[b:]
+            bodies.append(whole)
+        for x in bodies:
+            out.update(("w", k) for k in tokens(x))
+            if WINDOWED.search(x):
+                out.update(("g", k) for k in windows(lines.paragraph(x.split("\n"), join_cut=False)))
+        return out
 
     def noise(self, text: str, manga: str | None) -> list[str]:
         """The kinds of noise of a unified text."""
         rest, header, number = edge_lines(text, self.titles.get(manga), self.known)
-        out = []
-        if header:
-            out.append("running_header")
+        out = ["running_header"] if header else []
         if number:
             out.append("page_number")
-        body = "\n".join(rest).lower()
+        body = lowered("\n".join(rest))
+        if (got := self.memo.get(body)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            got = self.memo[body] = self._inside(body)
+        return out + list(got)
+
+    def _inside(self, body: str) -> tuple[str, ...]:
         if not WORD.search(body):
-            return out
-        if found := cuts(body):
-            hit = False
-            for left, mark, blank, right, a, b in reversed(found):
-                if (to := self.cuts.get(f"{left}\t{mark}\t{blank}\t{right}")) is not None:
-                    hit = True
-                    body = body[:a] + to + body[b:]
-            if hit:
-                out.append("hyphen_break")
-        if self.misread(body):
-            out.append("misread")
-        return out
+            return ()
+        body, hit = self._joined(body, body)
+        return (*(("hyphen_break",) if hit else ()), *(("misread",) if self.misread(body) else ()))
+
+    def _joined(self, low: str, body: str) -> tuple[str, bool]:
+        """``body`` with its cut words joined where the verdicts say so; ``low`` is the same in lower case."""
+        hit = False
+        for left, mark, blank, right, a, b in reversed(cuts(low)):
+            if f"{left}\t{mark}\t{blank}\t{right}" in self.cuts:
+                hit = True
+                body = body[: a + len(left)] + body[b - len(right) :]
+        return body, hit
 
     def misread(self, body: str) -> bool:
         if not self.words.keys().isdisjoint(TOKEN.findall(body)):
             return True
         if SUSPECT.search(body):
-            if SIGN_INSIDE.search(body):
-                return True
             if any(c in body for c in "[{<"):
                 body = PAIRED.sub(r"\1\2\3", body)
             if MARK_ALONE.search(body) or MARK_ATTACHED.search(body):
                 return True
         if WINDOWED.search(body):
-            whole = lines.paragraph(body.split("\n"))
+            whole = lines.paragraph(body.split("\n"), join_cut=False)
             if MARK_CJK.search(whole):
                 return True
             if self.middles is not None and self.middles.search(whole):
@@ -307,90 +393,120 @@ class Repairer:
         body = "\n".join(rest)
         if not WORD.search(body):
             return body.strip()
-        low = body.lower()
-        if len(low) == len(body):
-            for left, mark, blank, right, a, b in reversed(cuts(low)):
-                if f"{left}\t{mark}\t{blank}\t{right}" in self.cuts:
-                    cut_at = body[a:b]
-                    body = body[:a] + re.sub(r"[-‐¬=]\s*", "", cut_at, count=1) + body[b:]
-        body = lines.paragraph(body.split("\n"))
-        body = MARK_CJK.sub("", MARK_ALONE.sub(" ", MARK_ATTACHED.sub("", body)))
-        out = []
-        for raw in body.split():
-            core = raw.strip(EDGE)
-            to = self.words.get(core.lower())
-            if to:
-                to = to.upper() if core.isupper() and len(core) > 1 else to[:1].upper() + to[1:] if core[:1].isupper() else to
-                raw = raw.replace(core, to, 1)
-            out.append(raw)
-        body = " ".join(out)
+        body = lines.paragraph(self._joined(lowered(body), body)[0].split("\n"), join_cut=False)
+        low = lowered(body)
+        pieces, end = [], 0
+        for m in TOKEN.finditer(low):
+            if to := self.words.get(m.group()):
+                was = body[m.start() : m.end()]
+                pieces += [body[end : m.start()], to.upper() if was.isupper() and len(was) > 1 else to[:1].upper() + to[1:] if was[:1].isupper() else to]
+                end = m.end()
+        body = "".join([*pieces, body[end:]])
+        marks = PAIRED.sub(r"\1\2\3", body) if any(c in body for c in "[{<") else body
+        if MARK_ALONE.search(marks) or MARK_ATTACHED.search(marks) or MARK_CJK.search(marks):
+            body = MARK_CJK.sub("", MARK_ALONE.sub(" ", MARK_ATTACHED.sub(lambda m: m.group()[0] if m.group()[0] in ".,!?…" else "", body)))
+        body = " ".join(body.split())
         if self.windows and WINDOWED.search(body):
             chars = list(body)
             for i, c in enumerate(chars):
                 if WINDOWED.match(c):
                     around = (("0" if chars[i - 1].isdigit() else chars[i - 1]) if i else " ") + c + (("0" if chars[i + 1].isdigit() else chars[i + 1]) if i + 1 < len(chars) else " ")
-                    if to := self.windows.get(around.lower()):
+                    if to := self.windows.get(lowered(around)):
                         chars[i] = to[1]
             body = "".join(chars)
         return body
 
 
-def _verdicts(regions: DataFrame, titles: dict[str, lines.Title]) -> tuple[DataFrame, int]:
-    """All verdicts, checkpointed, and the number of slices to go through them in."""
+def _verdicts(regions: DataFrame, titles: dict[str, lines.Title]) -> tuple[DataFrame, dict[str, dict[str, str]] | None]:
+    """All verdicts, checkpointed, and the same as dictionaries if they are few enough for each worker to hold."""
     counts = count(regions, titles)
     found = cut(misreadings(counts).unionByName(cut_words(counts).select("kind", "key", "to")))
-    return found, -(-max(1, found.count()) // MOST_VERDICTS)
+    if found.count() > MOST_VERDICTS:
+        return found, None
+    held: dict[str, dict[str, str]] = {}
+    rows = found.toArrow()
+    for kind, key, to in zip(*(rows.column(c).to_pylist() for c in ("kind", "key", "to")), strict=True):
+        held.setdefault(kind, {})[key] = to
+    return found, held
 
 
-def _held(found: DataFrame, slices: int, part: int) -> dict[str, dict[str, str]]:
-    """One slice of the verdicts, at most about ``MOST_VERDICTS`` of them."""
-    rows = (found if slices == 1 else found.where(F.pmod(F.hash("key"), F.lit(slices)) == part)).toArrow()
-    out: dict[str, dict[str, str]] = {}
-    for kind, key, to in zip(*(rows.column(c).to_pylist() for c in ("kind", "key", "to")), strict=True):
-        out.setdefault(kind, {})[key] = to
-    return out
+def _with_own_verdicts(rows: DataFrame, found: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
+    """``rows`` with ``held``: for each text the verdicts that it can need, by a join on their keys."""
+    context = rows.sparkSession.sparkContext
+    place = F.pmod(F.xxhash64(F.concat("kind", F.lit("\t"), "key")), F.lit(FILTER_BITS))
+    bits = found.select(place.alias("p")).groupBy((F.col("p") / 63).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("bits")).toArrow()
+    filter_ = np.zeros(FILTER_BITS // 63, np.int64)  # its size does not depend on the verdicts
+    filter_[bits.column("slot").to_numpy()] = bits.column("bits").to_numpy()
+    shared = context.broadcast((titles, filter_))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer, maybe = Repairer(shared.value[0], {}), shared.value[1]
+
+        def passes(kind: str, key: str) -> bool:
+            h = xxhash.xxh64_intdigest(f"{kind}\t{key}", seed=42)
+            at = (h - (1 << 64) if h >= 1 << 63 else h) % FILTER_BITS
+            return bool(int(maybe[at // 63]) >> (at % 63) & 1)
+
+        for batch in batches:
+            row_keys, manga = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = []
+            for column in (2, 3):
+                for row, m, text in zip(row_keys, manga, codepoints.unify_texts(batch.column(column)), strict=True):
+                    if text:
+                        out += [(row, *x) for x in repairer.tests(text, m) if passes(*x)]
+            yield _table(out, ["row", "kind", "key"], [pa.int64(), pa.string(), pa.string()])
+
+    keyed = rows.withColumn("row", F.xxhash64("region_id", "manga_id", "text", "translation"))
+    tests = keyed.select("row", "manga_id", "text", "translation").mapInArrow(run, "row bigint, kind string, key string")
+    own = tests.join(found, ["kind", "key"]).groupBy("row").agg(F.collect_set(F.struct("kind", "key", "to")).alias("held"))
+    return keyed.join(own, "row", "left").select("region_id", "manga_id", "text", "translation", "held")
+
+
+def _judged(regions: DataFrame, titles: dict[str, lines.Title], each: Callable[[Repairer, list, list, list[list]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``each`` over batches of all regions: (repairer, ids, manga, [texts, translations]), a null as None."""
+    found, held = _verdicts(regions, titles)
+    rows = _fields(regions)
+    if held is None:
+        rows = _with_own_verdicts(rows, found, titles)
+    shared = regions.sparkSession.sparkContext.broadcast((titles, held or {}))
+    own = held is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer = Repairer(*shared.value)
+        for batch in batches:
+            ids, manga = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = []
+            for column in (2, 3):
+                null = batch.column(column).is_null().to_pylist()
+                texts.append([None if n else t for n, t in zip(null, codepoints.unify_texts(batch.column(column)), strict=True)])
+            if not own:
+                yield each(repairer, ids, manga, texts)
+                continue
+            for i, verdicts in enumerate(batch.column(4).to_pylist()):
+                mine: dict[str, dict[str, str]] = {}
+                for v in verdicts or ():
+                    mine.setdefault(v["kind"], {})[v["key"]] = v["to"]
+                repairer.hold(mine)
+                yield each(repairer, ids[i : i + 1], manga[i : i + 1], [x[i : i + 1] for x in texts])
+
+    return rows.mapInArrow(run, schema)
 
 
 def find(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     """(region_id, field, noise), distinct."""
-    found, slices = _verdicts(regions, titles)
-    context = regions.sparkSession.sparkContext
-    out = None
-    for part in range(slices):
-        shared = context.broadcast((titles, _held(found, slices, part)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            repairer = Repairer(*shared.value)
-            for batch in batches:
-                ids, manga = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = []
-                for field, column in (("text", 2), ("translation", 3)):
-                    for i, m, text in zip(ids, manga, codepoints.unify_texts(batch.column(column)), strict=True):
-                        if text:
-                            rows += [(i, field, noise) for noise in repairer.noise(text, m)]
-                yield _table(rows, ["region_id", "field", "noise"], [pa.int64(), pa.string(), pa.string()])
-
-        each = _fields(regions).mapInArrow(run, "region_id bigint, field string, noise string")
-        out = each if out is None else out.unionByName(each)
-    return out.distinct()
+
+    def each(repairer: Repairer, ids: list, manga: list, texts: list[list]) -> pa.RecordBatch:
+        rows = [(i, field, noise) for field, column in zip(("text", "translation"), texts, strict=True) for i, m, text in zip(ids, manga, column, strict=True) if text for noise in repairer.noise(text, m)]
+        return _table(rows, ["region_id", "field", "noise"], [pa.int64(), pa.string(), pa.string()])
+
+    return _judged(regions, titles, each, "region_id bigint, field string, noise string").distinct()
 
 
 def repaired(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
     """(region_id, text, translation) with both fields as continuous readable paragraphs; a null stays null."""
-    found, slices = _verdicts(regions, titles)
-    rows = _fields(regions)
-    for part in range(slices):
-        shared = regions.sparkSession.sparkContext.broadcast((titles, _held(found, slices, part)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            repairer = Repairer(*shared.value)
-            for batch in batches:
-                manga = batch.column(1).to_pylist()
-                done = []
-                for column in (2, 3):
-                    null = batch.column(column).is_null().to_pylist()
-                    done.append([None if n else repairer.repair(t, m) for n, m, t in zip(null, manga, codepoints.unify_texts(batch.column(column)), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done[0], pa.string()), pa.array(done[1], pa.string())], names=["region_id", "manga_id", "text", "translation"])
-
-        rows = rows.mapInArrow(run, "region_id bigint, manga_id string, text string, translation string")
-    return rows.select("region_id", "text", "translation")
+
+    def each(repairer: Repairer, ids: list, manga: list, texts: list[list]) -> pa.RecordBatch:
+        done = [[None if t is None else repairer.repair(t, m) for m, t in zip(manga, column, strict=True)] for column in texts]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in done)], names=["region_id", "text", "translation"])
+
+    return _judged(regions, titles, each, "region_id bigint, text string, translation string")

@@ -31,6 +31,11 @@ CASES = [
     (16, None, None, None, set()),
     (17, "m", "The tower of 2 clocks (3 bells) costs 5 coins.", None, set()),
     (18, "m", "x" * 100_000, None, set()),
+    (19, "m", "the mp3s and b2b and h2o here.", None, set()),
+    (20, "m", "My rain-\nhands are shaking again.", None, set()),
+    (21, "m", "I-\nI don't have enough money for the ferry.", None, set()),
+    (22, "m", "My hands are sha-\nk1ng again.", None, {"hyphen_break", "misread"}),
+    (23, "m", "My hands are sh\u0130-\nking again.", None, {"hyphen_break"}),
 ]
 
 
@@ -54,11 +59,33 @@ def test_repair(spark):
     assert got == {1: ("The rain will stop before morning.", None), 2: ("Close the Window before the clock tower wakes up.", ""), 3: (None, "|~")}
 
 
-def test_slices_give_the_same(spark, monkeypatch):
-    df = table(spark, [c[:4] for c in CASES])
-    whole = sorted(map(tuple, scan.find(df, TITLES).collect()))
-    monkeypatch.setattr(scan, "MOST_VERDICTS", 2)
-    assert sorted(map(tuple, scan.find(df, TITLES).collect())) == whole
+def test_compounds_and_stammering_stay(spark):
+    rows = [(1, "m", "He is well-\nknown here.", None), (2, "m", "I-\nI don't know.", None), (3, "m", "We don't have en0ugh mo-\nney for the ferry ¦ now.", "Cl0se the win-\ndow!")]
+    rows += [(10, "m", "All is well and known, I say.", None)]
+    got = {r.region_id: (r.text, r.translation) for r in scan.repaired(table(spark, rows), TITLES).where("region_id < 10").collect()}
+    assert got[1][0] == "He is well-known here." and got[2][0] == "I-I don't know."
+    assert got[3] == ("We don't have enough money for the ferry now.", "Close the window!")
+
+
+def test_verdicts_by_join_give_the_same(spark, monkeypatch):
+    """Beyond MOST_VERDICTS each text gets its own verdicts by join: the same noise and the same repaired texts."""
+    # a misread word that is cut as well: its two verdicts must meet
+    rows = [c[:4] for c in CASES] + [(30, "m", "Close the vvin-\ndow before the clock tower wakes up.", "The Garden of Kazu\nMy hands are sha-\nking agaln.")]
+    rows += [(i, "m", "Close the vvindow before the clock tower wakes up.", None) for i in range(31, 34)]
+    df = table(spark, rows)
+    whole, texts = (sorted(map(repr, f(df, TITLES).collect())) for f in (scan.find, scan.repaired))
+    monkeypatch.setattr(scan, "MOST_VERDICTS", 0)
+    assert sorted(map(repr, scan.find(df, TITLES).collect())) == whole
+    assert sorted(map(repr, scan.repaired(df, TITLES).collect())) == texts
+
+
+def test_rare_windows_have_evidence(spark):
+    """A misread character is found where its window is rare, if the halves on both sides say so: in small tables too."""
+    names = "トピラカネリダゴミセ"
+    base = [f"{a}は扉を開けて{b}を待っている。" for a in names for b in names]
+    rows = [(i, "m", t, None, 0) for i, t in enumerate(base)] + [(900, "m", "ラは扉を閉ぬた。", None, 0), (901, "m", "ラほ扉を開けてネを待っている。", None, 0)]
+    got = {(r.region_id, r.noise) for r in scan.find(spark.createDataFrame(rows, SCHEMA), {}).collect()}
+    assert (901, "misread") in got and {i for i, _ in got} <= {900, 901}
 
 
 def test_anagram_differences():
@@ -72,3 +99,15 @@ def test_anagram_differences():
 
 def test_empty(spark):
     assert scan.find(spark.createDataFrame([], SCHEMA), {}).count() == 0
+
+
+def test_hostile_texts_are_read_once():
+    import time
+
+    began = time.perf_counter()
+    repairer = scan.Repairer({}, {"w": {"k1ng": "king"}})
+    for text in ("x" * 50_000 + " 5-5", "1" * 50_000 + " a", "~" * 50_000 + "a", "a-" * 20_000, "[" * 50_000, "-\n" * 20_000):
+        repairer.noise(text, None)
+        repairer.repair(text, None)
+        scan.windows(text)
+    assert time.perf_counter() - began < 5
