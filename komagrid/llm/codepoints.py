@@ -412,6 +412,21 @@ def with_unified(df: DataFrame, column: str, unified: str | None = "unified", fo
     return df.mapInArrow(run, schema)
 
 
+def unified_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the text columns named in the one form, in one pass; a null stays null."""
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(batch.columns)
+            for i in places:
+                points, begins, _ = unify(out[i])
+                out[i] = strings(points, begins, np.asarray(out[i].is_null()))
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def forms_found(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One distinct row (keys, form) for each form in the texts of each key."""
     flagged = with_unified(df.select(*keys, column), column, unified=None, forms="forms").where("forms > 0")

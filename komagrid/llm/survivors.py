@@ -1,9 +1,11 @@
 """Best representative of each duplicate group: one surviving record per release.
 
-Releases are the components that shared ids and shared (manga, language, chapter number, group) keys give. Which value
-of a field is right is inferred with a latent two-sided quality model: each source has, for each field, a sensitivity
-(how often it states a true value) and a specificity (how often it refrains from a false one), and each stated value is
-true or not; expectation-maximisation fits both. Every value judged true is kept, the likeliest goes into the record.
+Releases are the components that shared ids and shared (manga, language, chapter number, group) keys give; texts are
+brought to one form of characters first. Which value of a field is right is inferred with a latent two-sided quality
+model: each source has, for each field, a sensitivity (how often it states a true value) and a specificity (how often it
+refrains from a false one), and each stated value is true or not; expectation-maximisation fits both to the patterns of
+agreement of all releases of two or more records. Every value judged true is kept, the likeliest goes into the record.
+A release of one record is that record: nothing is to be judged, and it is not shuffled.
 
 Defined results: a record without an id, or without number or group, is linked by what it has, or stands alone; a
 null or stand-in field states nothing; 0 pages state nothing; a null trust, time or feed ranks lowest; repeated rows of
@@ -12,32 +14,29 @@ a record_id count once (the last fetched); an empty table gives no release.
 
 from __future__ import annotations
 
-import math
+import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from komagrid.llm import codepoints
 from komagrid.session import bounded_rows, cut
 
 # Entries that stand for no value.
 STAND_INS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "?", "??", "tbd", "tba", "—", "–", ".", "...", "undefined", "nan")
 FIELDS = ("chapter", "group_name", "pages", "volume")
-MAX_SOURCES = 10_000
-EM_ROUNDS = 12
-
-# Letters of other scripts drawn like Latin ones, and zero-width characters, for spelling keys.
-ALIKE_FROM = "аеорсухѕіјкмтнвАВЕКМНОРСТУХЅІЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ"
-ALIKE_TO = "aeopcyxsijkmthbABEKMHOPCTYXSIJABEZHIKMNOPTYXovp"
-ZERO_WIDTH = "[\\u00AD\\u200B-\\u200F\\u2060-\\u2064\\uFEFF]"
+#: Patterns (which sources state a value, which state another one) that the model is fitted on: sets of feeds, not records.
+MAX_PATTERNS = 500_000
+EM_ROUNDS = 30
+TEXTS = ["language", "chapter", "group_name", "volume", "title"]
 
 
 def narrow(text: Column) -> Column:
-    """Full-width ASCII as ASCII, look-alike letters as Latin, no zero-width characters, other spaces as a space."""
+    """Blanks as one, none at the ends, full-width signs as ASCII; the characters themselves are in one form already."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     ascii_ = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    text = F.regexp_replace(text, ZERO_WIDTH, "")
-    text = F.regexp_replace(text, "[\\p{Z}\\s]+", " ")
-    return F.trim(F.translate(text, wide + ALIKE_FROM, ascii_ + ALIKE_TO))
+    return F.trim(F.translate(F.regexp_replace(text, "[\\p{Z}\\s]+", " "), wide, ascii_))
 
 
 def filled(text: Column) -> Column:
@@ -81,12 +80,16 @@ def spelling_keys(names: DataFrame, column: str) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
-    """(left, label) for a bipartite graph: the same label for all ``left`` that are connected over ``right``.
+    """(left, label) for a bipartite graph: the same label for all ``left`` that are connected over ``right``; those that
+    are connected with no other are left out.
 
     Smallest labels travel over distinct edges, with a jump to the label's own label in each round; each round is
     checkpointed. Nothing is collected but the number of changes.
     """
-    edges = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null").distinct())
+    edges = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null").distinct()
+    # what stands alone on either side connects nothing: only the rest goes through the rounds
+    linking = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    edges = cut(edges.join(linking, "b", "left_semi"))
     labels = edges.select("a", F.col("a").alias("label")).distinct()
     for _ in range(most_rounds):
         over = edges.join(labels, "a").groupBy("b").agg(F.min("label").alias("label"))
@@ -107,9 +110,12 @@ def prepare(records: DataFrame, feeds: DataFrame) -> DataFrame:
     last = Window.partitionBy("record_id").orderBy(F.desc_nulls_last("fetched_at"), F.desc_nulls_last("updated_at"))
     wanted = ["record_id", "id", "manga_id", "language", "chapter", "group_name", "volume", "title", "pages", "feed_id", "updated_at", "fetched_at"]
     once = records.select(*wanted).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    once = codepoints.unified_columns(once, TEXTS)
     once = once.withColumns({"chapter_key": number_key(F.col("chapter")), "group_raw": name_key(F.col("group_name")), "volume_key": number_key(F.col("volume"))})
-    spelled = spelling_keys(once, "group_raw")
-    once = once.join(spelled, "group_raw", "left").withColumnRenamed("spelled", "group_key")
+    once = cut(once)
+    # few names are misspelled: only those are joined
+    spelled = spelling_keys(once, "group_raw").where("spelled <> group_raw")
+    once = once.join(spelled, "group_raw", "left").withColumn("group_key", F.coalesce("spelled", "group_raw"))
     trust = feeds.groupBy("feed_id").agg(F.max("trust").alias("trust"))
     once = once.join(trust, "feed_id", "left").withColumn("trust", F.coalesce("trust", F.lit(-1)))
     pages = F.when(F.col("pages") > 0, F.col("pages"))
@@ -120,18 +126,20 @@ def prepare(records: DataFrame, feeds: DataFrame) -> DataFrame:
         F.concat_ws("\u0001", "manga_id", F.when(F.length(language) > 0, language).otherwise(F.coalesce("language", F.lit(""))), "chapter_key", "group_key"),
     )
     node = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("r"), F.col("record_id").cast("string")))
-    once = cut(once.withColumns({"node": node, "key": key, "pages_key": pages, "n_filled": sum((g.cast("int") for g in given), F.lit(0))}))
+    once = once.withColumns({"node": node, "key": key, "pages_key": pages, "n_filled": sum((g.cast("int") for g in given), F.lit(0))})
+    once = cut(once.select("record_id", "node", "key", "feed_id", "trust", "updated_at", "n_filled", filled(F.col("group_name")).alias("group_shown"), "chapter_key", "group_key", "pages_key", "volume_key"))
     labels = components(once, "node", "key")
-    return cut(
-        once.join(labels, "node", "left").withColumn("release", F.coalesce("label", "node")).drop("label", "node", "key", "group_raw")
-    )
+    # nodes of releases of two or more records: linked with another, or of several records themselves
+    several = once.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    many = labels.select("node", "label").unionByName(several.withColumn("label", F.col("node"))).groupBy("node").agg(F.min("label").alias("label"))
+    return cut(once.join(many, "node", "left").withColumn("release", F.coalesce("label", "node")).withColumn("alone", F.col("label").isNull()).drop("label", "node", "key"))
 
 
 def claims(members: DataFrame) -> DataFrame:
     """(release, field, value, shown, feeds that state it, feeds that state any value of the field), hot groups summed first."""
     values = {"chapter": "chapter_key", "group_name": "group_key", "pages": "pages_key", "volume": "volume_key"}
     # numbers are shown in their plain form, names as the most trusted source writes them
-    shown = {f: filled(F.col("group_name")) if f == "group_name" else F.col(v).cast("string") for f, v in values.items()}
+    shown = {f: F.col("group_shown") if f == "group_name" else F.col(v).cast("string") for f, v in values.items()}
     stated = members.select(
         "release", "feed_id", "trust", "updated_at",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("value"), shown[f].alias("shown")) for f, v in values.items()])).alias("x"),
@@ -142,76 +150,82 @@ def claims(members: DataFrame) -> DataFrame:
     facts = by_feed.groupBy("release", "field", "value").agg(
         F.array_sort(F.collect_set("feed")).alias("yes"), F.max("trust").alias("trust"), F.max("updated_at").alias("updated_at"), F.max_by("shown", F.struct("trust", "updated_at", "shown")).alias("shown"),
     )
-    cover = by_feed.groupBy("release", "field").agg(F.array_sort(F.collect_set("feed")).alias("cover"), F.countDistinct("value").alias("n_values"))
+    facts = cut(facts)
+    cover = facts.groupBy("release", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("yes")))).alias("cover"))
     return facts.join(cover, ["release", "field"])
 
 
-def _posterior(yes: Column, cover: Column, field: Column, sens: dict, spec: dict, prior: dict) -> Column:
-    """The probability that a value is true, from the sources that state it and those that state another."""
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(0.0))
-    a = table({f"{k[0]}/{k[1]}": math.log(v / (1 - spec[k])) for k, v in sens.items()})
-    b = table({f"{k[0]}/{k[1]}": math.log((1 - v) / spec[k]) for k, v in sens.items()})
-    odds = table({k: math.log(v / (1 - v)) for k, v in prior.items()})
-    name = lambda s: F.concat_ws("/", field, s.cast("string"))
-    stated = F.aggregate(F.transform(yes, lambda s: F.coalesce(F.try_element_at(a, name(s)), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
-    other = F.aggregate(
-        F.transform(F.array_except(cover, yes), lambda s: F.coalesce(F.try_element_at(b, name(s)), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y
-    )
-    return 1 / (1 + F.exp(-(F.coalesce(F.try_element_at(odds, field), F.lit(0.0)) + stated + other)))
-
-
-def fit_quality(facts: DataFrame, rounds: int = EM_ROUNDS) -> tuple[dict, dict, dict]:
-    """Sensitivity and specificity by (field, source), and the share of true values by field, over all facts.
+def fit_quality(facts: DataFrame, rounds: int = EM_ROUNDS) -> tuple[dict, dict, list[tuple[str, str, str, float]]]:
+    """(sensitivity, specificity) by (field, source), and (field, yes, cover, p) of each pattern, from all facts.
 
-    The facts are first counted by pattern (which sources state, which state another), so a round of EM reads the
-    patterns only. The parameters are sources times fields, a dimension bounded by ``MAX_SOURCES``.
+    A pattern is which sources state a value and which state any value of its field; facts of one pattern have the same
+    probability, so expectation-maximisation runs over the patterns with their counts. They are sets of sources, whose
+    number does not grow with the records; more than ``MAX_PATTERNS`` are an error.
     """
-    patterns = cut(facts.groupBy("field", "yes", "cover").agg(F.count("*").alias("n")))
-    sources = [(r[0], str(r[1])) for r in bounded_rows(patterns.select("field", F.explode("cover").alias("s")).distinct(), 4 * MAX_SOURCES, "sources")]
-    sens, spec = {k: 0.8 for k in sources}, {k: 0.9 for k in sources}
-    prior = {f: 0.6 for f, _ in sources}
-    for _ in range(rounds if sources else 0):
-        p = _posterior(F.col("yes"), F.col("cover"), F.col("field"), sens, spec, prior)
-        each = patterns.withColumn("p", p).select("field", "yes", "n", "p", F.explode("cover").alias("s"))
-        said = F.array_contains("yes", F.col("s")).cast("double")
-        sums = each.groupBy("field", "s").agg(
-            F.sum(F.col("n") * F.col("p") * said).alias("tp"), F.sum(F.col("n") * F.col("p")).alias("t"),
-            F.sum(F.col("n") * (1 - F.col("p")) * (1 - said)).alias("tn"), F.sum(F.col("n") * (1 - F.col("p"))).alias("f"),
-        )
-        change = 0.0
-        for r in sums.collect():  # sources times fields
-            k = (r["field"], str(r["s"]))
-            # priors: a source is right more often than not
-            new_sens, new_spec = (r["tp"] + 8) / (r["t"] + 10), (r["tn"] + 9) / (r["f"] + 10)
-            change = max(change, abs(new_sens - sens[k]), abs(new_spec - spec[k]))
-            sens[k], spec[k] = min(max(new_sens, 1e-3), 1 - 1e-3), min(max(new_spec, 1e-3), 1 - 1e-3)
-        if change < 1e-3:
+    key = lambda c: F.to_json(c)
+    counted = facts.groupBy("field", key(F.col("yes")).alias("yes"), key(F.col("cover")).alias("cover")).agg(F.count("*").alias("n"))
+    rows = bounded_rows(counted, MAX_PATTERNS, "patterns of sources")
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    yes, cover = [set(json.loads(r[1])) for r in rows], [json.loads(r[2]) for r in rows]
+    sources = sorted({(r[0], s) for r, c in zip(rows, cover, strict=True) for s in c})
+    at = {k: i for i, k in enumerate(sources)}
+    # one entry for each source of each pattern
+    pattern = np.array([i for i, c in enumerate(cover) for _ in c], np.int64)
+    source = np.array([at[rows[i][0], s] for i, c in enumerate(cover) for s in c], np.int64)
+    said = np.array([s in yes[i] for i, c in enumerate(cover) for s in c], bool)
+    n = np.array([r[3] for r in rows], float)
+    sens, spec, p = np.full(len(sources), 0.8), np.full(len(sources), 0.9), np.full(len(rows), 0.6)
+    for _ in range(rounds if rows else 0):
+        odds = np.log(0.6 / 0.4) + np.bincount(pattern, np.where(said, np.log(sens / (1 - spec))[source], np.log((1 - sens) / spec)[source]), len(rows))
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        true, false = (n * p)[pattern], (n * (1 - p))[pattern]
+        total = lambda weight: np.bincount(source, weight, len(sources))
+        # priors: a source is right more often than not
+        new_sens = np.clip((total(true * said) + 8) / (total(true) + 10), 1e-3, 1 - 1e-3)
+        new_spec = np.clip((total(false * ~said) + 9) / (total(false) + 10), 1e-3, 1 - 1e-3)
+        new_spec = np.maximum(new_spec, 1 - 0.9 * new_sens)  # that a source states a value never counts against it
+        change = max(np.abs(new_sens - sens).max(), np.abs(new_spec - spec).max())
+        sens, spec = new_sens, new_spec
+        if change < 1e-4:
             break
-    return sens, spec, prior
+    named = [(f, str(s)) for f, s in sources]
+    return dict(zip(named, sens.tolist(), strict=True)), dict(zip(named, spec.tolist(), strict=True)), [(r[0], r[1], r[2], float(x)) for r, x in zip(rows, p, strict=True)]
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """The facts with ``p``, the probability that each is true."""
+    _, _, patterns = fit_quality(facts)
+    known = facts.sparkSession.createDataFrame(patterns, "field string, yes_key string, cover_key string, p double")
+    keyed = facts.withColumns({"yes_key": F.to_json("yes"), "cover_key": F.to_json("cover")})
+    return keyed.join(F.broadcast(known), ["field", "yes_key", "cover_key"]).drop("yes_key", "cover_key")  # at most MAX_PATTERNS
 
 
 def survivors(members: DataFrame) -> DataFrame:
     """One row per release: the likeliest value of each field, every value judged true, and the release's extremes."""
-    facts = cut(claims(members))
-    sens, spec, prior = fit_quality(facts)
-    judged = facts.withColumn("p", _posterior(F.col("yes"), F.col("cover"), F.col("field"), sens, spec, prior))
-    # of the values judged true the one that most sources state; wrong values seldom agree
-    rank = F.struct((F.col("p") >= 0.5).alias("true"), F.size("yes").alias("votes"), "p", "trust", "updated_at", "value", "shown")
-    best = judged.groupBy("release", "field").agg(
+    many, alone = members.where("not alone"), members.where("alone")
+    facts = judged(cut(claims(many)))
+    # of the values judged true the likeliest; where the model leaves two alike, the one more sources state
+    rank = F.struct((F.col("p") >= 0.5).alias("true"), F.round("p", 6).alias("p"), F.size("yes").alias("votes"), "trust", "updated_at", "value", "shown")
+    best = facts.groupBy("release", "field").agg(
         F.max(rank)["shown"].alias("value"), F.array_sort(F.collect_set(F.when(F.col("p") >= 0.5, F.col("shown")))).alias("all")
     )
     wide = best.groupBy("release").agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS],
         *[F.max(F.when(F.col("field") == f, F.col("all"))).alias(f"all_{f}") for f in FIELDS],
     )
-    extremes = members.groupBy("release").agg(
+    extremes = many.groupBy("release").agg(
         F.count("*").alias("n_records"), F.max("trust").alias("max_trust"), F.max("updated_at").alias("max_updated"), F.max("n_filled").alias("max_filled"),
         F.min("record_id").alias("release_id"),
     )
-    return extremes.join(wide, "release", "left").withColumn("pages", F.col("pages").cast("int"))
+    own = {"chapter": F.col("chapter_key"), "group_name": F.col("group_shown"), "pages": F.col("pages_key").cast("string"), "volume": F.col("volume_key")}
+    single = alone.select(
+        "release", F.lit(1).cast("bigint").alias("n_records"), F.col("trust").alias("max_trust"), F.col("updated_at").alias("max_updated"), F.col("n_filled").alias("max_filled"),
+        F.col("record_id").alias("release_id"), *[c.alias(f) for f, c in own.items()], *[F.when(c.isNotNull(), F.array(c)).alias(f"all_{f}") for f, c in own.items()],
+    )
+    return extremes.join(wide, "release", "left").unionByName(single).withColumn("pages", F.col("pages").cast("int"))
 
 
 def representatives(members: DataFrame, surviving: DataFrame) -> DataFrame:
     """The records at least as trusted, recent and complete as every other of their release of two or more."""
-    both = members.join(surviving.select("release", "n_records", "max_trust", "max_updated", "max_filled"), "release")
-    return both.where("n_records >= 2 and trust = max_trust and updated_at <=> max_updated and n_filled = max_filled").select("record_id").distinct()
+    both = members.where("not alone").join(surviving.where("n_records >= 2").select("release", "max_trust", "max_updated", "max_filled"), "release")
+    return both.where("trust = max_trust and updated_at <=> max_updated and n_filled = max_filled").select("record_id").distinct()
