@@ -1,7 +1,7 @@
 """Broken prompt and response pairs: which defect the translation of a text has, if any.
 
-The response is compressed with its prompt as a raw-content dictionary (copies), with each language's dictionary (wrong
-language) and with a dictionary of refusals; what it says by its last words is judged by a terminal-context model, the
+The response is compressed with its prompt as a raw-content dictionary (a copy takes hardly more than the prompt itself
+does), with each language's dictionary (wrong language) and with a dictionary of refusals (a refusal is made small by it); what it says by its last words is judged by a terminal-context model, the
 share of each context that ends a sentence anywhere in the corpus, together with the usual proportion of lengths.
 Contexts are counted exactly over all pairs; the pairs whose defect hangs on one are joined with its counts.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +29,13 @@ from komagrid.session import cut, spread
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 BIN = 0.05
 #: Sentences and contexts counted by a worker before they are handed on.
-LOCAL_SENTENCES, LOCAL_CONTEXTS = 100_000, 500_000
+LOCAL_SENTENCES, LOCAL_CONTEXTS, LOCAL_TEXTS = 100_000, 500_000, 20_000
+#: Texts whose reading a worker keeps, as many texts come more than once.
+MEMO = 30_000
+#: A copy: how much of what a text takes by itself, beyond what its prompt takes after itself, is left after the prompt.
+COPY_LEFT, COPY_LENGTHS = 0.45, (0.6, 1.7)
+#: A refusal: what is left of a text after the dictionary of refusals.
+REFUSAL_LEFT = 0.75
 
 # Stand-ins for a missing translation (squashed to letters and digits).
 STAND_INS = frozenset(
@@ -60,8 +66,8 @@ SOUND = re.compile(
 )
 DRESS = re.compile(r"^\W*(?:translation|translated text|translated|output|answer|result|response|bản dịch|dịch|english|vietnamese|en|vi)\s*[:：]\s*", re.IGNORECASE)
 # One of these is in every text that speaks of translating.
-SPEAKING = ("transl", "this request", "this content", "this passage", "this entry", "this dialogue", "this text", "this bubble", "language model", "guideline", "polic", "as an ai", "render", "dịch", "mô hình", "nguyên tắc",
-            "chính sách", "yêu cầu này", "翻", "번역", "tradu", "перев", "bersetz", "terjemah")
+SPEAKING = re.compile("|".join(("transl", "this request", "this content", "this passage", "this entry", "this dialogue", "this text", "this bubble", "language model", "guideline", "polic", "as an ai", "render", "dịch", "mô hình", "nguyên tắc",
+            "chính sách", "yêu cầu này", "翻", "번역", "tradu", "перев", "bersetz", "terjemah")))
 
 
 def _context(words: list[str], i: int) -> tuple[str, str]:
@@ -116,20 +122,32 @@ def corpus_statistics(pairs: DataFrame, known: frozenset[str]) -> tuple[DataFram
             every.clear()
             final.clear()
 
+        def read() -> None:
+            # each distinct text once, however often it came
+            for (target, text), sources in texts.items():
+                body, parts = _parts(text, None, titles)
+                n = sum(sources.values())
+                for x in parts:
+                    seen[target, x] += n
+                if len(body) >= 8:
+                    for (script, size), k in sources.items():
+                        if size >= 8:
+                            lengths[script, target, round(math.log(len(body) / size) / BIN)] += k
+            texts.clear()
+
+        texts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for batch in batches:
             targets = batch.column(2).to_pylist()
-            for source, text, target in zip(batch.column(0).to_pylist(), (t.lower() for t in codepoints.unify_texts(batch.column(1))), targets, strict=True):
-                if not text or target is None:
-                    continue
-                body, parts = _parts(text, None, titles)
-                for s in parts:
-                    seen[target, s] += 1
-                if len(source) >= 8 and len(body) >= 8:
-                    lengths[lang.script_of(source), target, round(math.log(len(body) / len(source)) / BIN)] += 1
+            for source, text, target in zip(batch.column(0).to_pylist(), codepoints.unify_texts(batch.column(1)), targets, strict=True):
+                if text and target is not None:
+                    texts[target, text.lower()][lang.script_of(source) if len(source) >= 8 else "", len(source)] += 1
+            if len(texts) > LOCAL_TEXTS:
+                read()
             if len(seen) > LOCAL_SENTENCES:
                 spread()
             if len(every) > LOCAL_CONTEXTS:
                 yield from contexts()
+        read()
         spread()
         yield from contexts()
         yield table([(f"length-{script}", target, str(k), n, 0) for (script, target, k), n in lengths.items()])
@@ -171,22 +189,23 @@ class Judge:
             return zs.ZstdCompressor(dict_data=d, compression_params=self.small)
 
         self.refusals = [made(r.encode()) for r in REFUSALS]
-
-    def shared(self, text: str, prompt: str) -> float:
-        """The share of ``text`` that its prompt as a dictionary saves."""
-        raw = text.encode()
-        alone = len(self.plain.compress(raw)) - self.frame
-        d = zs.ZstdCompressionDict(prompt.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
-        with_prompt = len(zs.ZstdCompressor(dict_data=d, compression_params=self.small).compress(raw)) - self.frame
-        return (alone - with_prompt) / max(alone, 1)
+        self.sources: dict[tuple, tuple] = {}
+        self.tellings: dict[tuple, tuple] = {}
 
     def copied(self, prompt: str, text: str) -> bool:
-        """Whether a squashed text is its prompt given back: what the prompt as a dictionary saves, or an exact check."""
-        if len(text) < 4:
+        """Whether a squashed text is its prompt given back, by what it takes with the prompt as its dictionary.
+
+        0 is what the prompt itself takes after itself, 1 what the text takes alone. A text too short for a difference of
+        bytes is compared as it is.
+        """
+        if len(text) < 4 or not COPY_LENGTHS[0] <= len(text) / len(prompt) <= COPY_LENGTHS[1]:
             return False
-        if text == prompt or (len(prompt) >= 6 and prompt in text and len(prompt) >= 0.6 * len(text)):
-            return True
-        return len(text) >= 10 and len(prompt) >= 10 and 0.6 <= len(text) / len(prompt) <= 1.6 and self.shared(text, prompt) >= 0.55
+        raw, own = text.encode(), prompt.encode()
+        after = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(own, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=self.small)
+        least, alone = len(after.compress(own)), len(self.plain.compress(raw))
+        if alone - least < 4:
+            return text == prompt
+        return len(after.compress(raw)) - least <= COPY_LEFT * (alone - least)
 
     def content(self, parts: list[str]) -> int:
         """0: no dialogue or narration; 1: one word, known as a sentence; 2: more."""
@@ -210,11 +229,43 @@ class Judge:
         return 2
 
     def refusal(self, text: str) -> bool:
-        if not any(x in text for x in SPEAKING) or not (SPEAKS_OF_IT.search(text) and (DECLINES.search(text))):
+        """Whether the dictionary of refusals makes a text small that speaks of translating; that it declines is checked."""
+        if not SPEAKING.search(text):
             return False
         raw = text.encode()
         alone = max(1, len(self.plain.compress(raw)) - self.frame)
-        return min(len(r.compress(raw)) - self.frame for r in self.refusals) <= 0.75 * alone or len(lang.sentences(text)) <= 3
+        if min(len(r.compress(raw)) - self.frame for r in self.refusals) > REFUSAL_LEFT * alone:
+            return False
+        return bool(SPEAKS_OF_IT.search(text) and DECLINES.search(text))
+
+    def _key(self, low: str, title: lines.Title | None) -> tuple[str, str | None]:
+        """What the reading of a text depends on: its title only if it may stand there."""
+        return low, title.flat if title is not None and title.probe in low else "" if title is not None else None
+
+    def source(self, low: str, title: lines.Title | None) -> tuple[str, list[str], int]:
+        """(body, sentences, content) of a source in lower case."""
+        key = self._key(low, title)
+        if (got := self.sources.get(key)) is None:
+            if len(self.sources) >= MEMO:
+                self.sources.clear()
+            body, parts = _parts(low, title, self.known)
+            got = self.sources[key] = body, parts, self.content(parts)
+        return got
+
+    def told(self, low: str, title: lines.Title | None) -> tuple[str, list[str], bool, dict[str, float], str]:
+        """(body, sentences, whether it is a refusal, letters by language, script) of a translation in lower case."""
+        key = self._key(low, title)
+        if (got := self.tellings.get(key)) is None:
+            if len(self.tellings) >= MEMO:
+                self.tellings.clear()
+            body, parts = _parts(DRESS.sub("", low), title, self.known)
+            weight: dict[str, float] = {}
+            for s in parts:
+                code, confidence = self.classify(lang.DIGITS.sub("0", s))
+                if code and confidence >= MIN_CONFIDENCE:
+                    weight[code] = weight.get(code, 0) + len(s)
+            got = self.tellings[key] = body, parts, bool(parts) and self.refusal(body), weight, lang.script_of(body)
+        return got
 
     def truncated(self, source: str, s_parts: list[str], text: str, t_parts: list[str], target: str) -> bool | tuple[str, str, bool, float]:
         """Whether a text stops too early, or what that hangs on: its last word, that with the one before, whether the source
@@ -245,26 +296,18 @@ class Judge:
     def __call__(self, source: str, text: str | None, target: str, manga: str | None) -> str | tuple[str, str, bool, float] | None:
         """The defect of a pair of unified texts, or none, or what hangs on the counts of its last context."""
         title = self.titles.get(manga)
-        low = source.lower()
-        body, s_parts = _parts(low, title, self.known)
-        content = self.content(s_parts)
+        body, s_parts, content = self.source(source.lower(), title)
         if not content:
             return None
         stripped = (text or "").strip().lower()
         if len(stripped) <= 40 and (not (flat := lines.squash(stripped)) or flat in STAND_INS):
             return "empty"
-        t_body, t_parts = _parts(DRESS.sub("", stripped), title, self.known)
+        t_body, t_parts, refusal, weight, script = self.told(stripped, title)
         if not t_parts:
             return "empty" if content == 2 else None
-        if self.refusal(t_body) and not self.refusal(body):
+        if refusal and not self.refusal(body):
             return "refusal"
-        weight: dict[str, float] = {}
-        for s in t_parts:
-            code, confidence = self.classify(lang.DIGITS.sub("0", s))
-            if code and confidence >= MIN_CONFIDENCE:
-                weight[code] = weight.get(code, 0) + len(s)
         total = sum(weight.values())
-        script = lang.script_of(t_body)
         # a copy is not in the target language
         if weight.get(target, 0.0) < 0.6 * total or not total:
             if lang.script_of(body) == script and self.copied(lines.squash(body), lines.squash(t_body)):

@@ -89,3 +89,30 @@ def test_headers_of_any_length():
     assert lines.is_header("Run - Chapter 5", short) and not lines.is_header("Run!", short)
     assert lines.is_header("銀色の森 第3話", lines.Title("銀色の森", "銀色の森"), most_rest=40)
     assert lines.is_page_number("- - - - - - - - - - - - 112 - - - - - - - - - - -")
+
+
+PROMPT = "the rain will stop before morning. we don't have enough money for the ferry."
+
+
+@pytest.mark.parametrize(
+    ("text", "copy"),
+    [
+        (PROMPT, True), ("the rain will stop before morning! we don't have enough money... for the ferry", True), ("the rain will stop before the morning. we do not have enough money for a ferry.", True),
+        ("the rain will stop before morning. we don't have enough money", True), ("mưa sẽ tạnh trước khi trời sáng. chúng ta không đủ tiền đi phà.", False),
+        ("la pluie va s'arrêter avant le matin. nous n'avons pas assez d'argent.", False), ("morning", False), ("", False),
+    ],
+)
+def test_copies_by_compression(dictionaries, text, copy):
+    judge = pairs.Judge(dictionaries, {}, {})
+    assert judge.copied(lines.squash(PROMPT), lines.squash(text)) == copy
+
+
+@pytest.mark.parametrize(
+    ("text", "refusal"),
+    [
+        ("i'm sorry, but i can't help with translating this content.", True), ("this request can't be processed.", True), ("i must decline to translate the passage.", True),
+        ("i'm sorry, i can't go with you.", False), ("the translation club can't meet in the tower because the old lighthouse keeper has lost every single key he had.", False),
+    ],
+)
+def test_refusals_by_dictionary(dictionaries, text, refusal):
+    assert pairs.Judge(dictionaries, {}, {}).refusal(text) == refusal
