@@ -89,7 +89,8 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_shares(spark, folder).where("capped").select("mix_name", "source")
+    """Targets that the drawn mix cannot reach with all permitted epochs; the cap is then checked as defined."""
+    return p7_shares(spark, folder).where("exhausted and capped").select("mix_name", "source")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,3 +88,17 @@ def test_weights_draw(spark):
     targets = spark.createDataFrame([("m", "s", 0.25, 1)], "mix_name string, source string, weight double, max_repeats int")
     taken = [r.doc_id for r in mixing.mix(docs, targets).collect()]
     assert len(taken) == 1000 and sum(i % 2 for i in taken) > 700
+
+
+def test_no_bucket_holds_much_of_a_source(spark, monkeypatch):
+    """Whatever the weights, the end of the budget falls into a small bucket."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("n_tokens"), F.lit(1).alias("n_chars"))
+    targets = spark.createDataFrame([("m", "s", 0.37, 1), ("n", "s", 2.5, 2)], "mix_name string, source string, weight double, max_repeats int")
+    sized = mixing._sized(docs, targets, "doc_id", "n_tokens", F.lit(0.01), 17)
+    assert sized.groupBy("bucket").count().agg(F.max("count")).first()[0] < 40_000 / mixing.BUCKETS * 2
+    report = {r.mix_name: r for r in mixing.mix_report(docs, targets, weight=F.lit(0.01)).collect()}
+    assert report["m"].actual_tokens == 148_000 and not report["m"].exhausted
+    assert report["n"].actual_tokens == 800_000 and report["n"].exhausted and report["n"].capped
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 1)
+    with pytest.raises(ValueError, match="targets"):
+        mixing.mix_report(docs, targets)
