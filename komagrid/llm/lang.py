@@ -1,8 +1,9 @@
 """Compression classification: the language whose dictionary makes a text smallest.
 
 One zstandard raw-content dictionary per language, fitted on a bounded sample of labelled documents (``SAMPLE_DOCS`` per
-language, the smallest hashes of the id) after a seed text that covers languages without documents. Labels of the
-sample may be wrong and its texts mixed, so only sentences that the sample as a whole puts under their label are kept.
+language, the smallest hashes of the id, of each at most ``SAMPLE_CHARS`` characters) after a seed text that covers
+languages without documents. Labels of the sample may be wrong and its texts mixed, so only sentences that the sample as a
+whole puts under their label are kept, evenly thinned out to ``DICT_BYTES``. The bounds hold for the fit only.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from komagrid.session import bounded_rows
 LANGS = ("ja", "ko", "zh", "en", "es", "pt", "id", "fr", "it", "de", "ru", "vi")
 #: Documents per language that the dictionaries are fitted on; the rest of the corpus is classified only.
 SAMPLE_DOCS = 120
+SAMPLE_CHARS = 1 << 16
 DICT_BYTES = 48 * 1024
 MEMO = 200_000
 #: The confidence of a short sentence that only one language's dictionary holds as it is.
@@ -142,7 +144,7 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc
     )
     chosen = rate.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("id", "code")
     rows = bounded_rows(
-        documents.select(F.col(doc_id).alias("id"), F.substring(text, 1, 1 << 16).alias("t")).where("t is not null").join(F.broadcast(chosen), "id").select("code", "t"),
+        documents.select(F.col(doc_id).alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).where("t is not null").join(F.broadcast(chosen), "id").select("code", "t"),
         sample_docs * len(LANGS) * 4, "the sample of labelled documents",
     )
     return dictionaries([(r[0], r[1]) for r in rows])
@@ -156,7 +158,19 @@ def dictionaries(labelled: list[tuple[str, str]]) -> dict[str, bytes]:
     for code, t in sorted(labelled):
         sample[code].append(DIGITS.sub("0", normalize("NFKC", t).lower()))
     kept = clean_sample(sample)
-    return {code: ("\n".join(kept[code])[: DICT_BYTES] + "\n" + SEED[code]).encode()[-DICT_BYTES:] for code in LANGS}
+    return {code: "\n".join((*_thinned(kept[code], DICT_BYTES - len(SEED[code].encode())), SEED[code])).encode() for code in LANGS}
+
+
+def _thinned(lines: list[str], most: int) -> list[str]:
+    """Lines of at most ``most`` bytes together, taken evenly from all of them."""
+    sizes = [len(x.encode()) + 1 for x in lines]
+    total, passed, kept, out = sum(sizes), 0, 0, []
+    for line, size in zip(lines, sizes, strict=True):
+        passed += size
+        if total <= most or kept + size <= most * passed // total:
+            kept += size
+            out.append(line)
+    return out
 
 
 class Classifier:
@@ -188,6 +202,10 @@ class Classifier:
         # a sentence of five ideographs without kana is not Japanese
         return ("zh",) if script == "han" and len(text) >= 5 and len(SCRIPTS[1][1].findall(text)) >= 5 else BY_SCRIPT[script]
 
+    def holds(self, sentence: str, code: str) -> bool:
+        """Whether a sentence stands in one language's dictionary alone, as a whole."""
+        return self.known.get(UNWORD.sub("", sentence)) == code
+
     def __call__(self, sentence: str) -> tuple[str | None, float]:
         """(language, confidence) of a sentence in lower case with digits as 0; no language where the margin is narrow."""
         got = self.memo.get(sentence)

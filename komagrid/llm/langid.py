@@ -5,13 +5,13 @@ narrow. A record's language is that of most of its text; it is mixed if two lang
 
 Defined results: a null, empty or wordless text has no language and no issue; a label in another spelling or of a regional
 variant is right; a label that names no language is missing; the label of a mixed text is not judged; repeated rows
-count once; texts of any length are read whole, sentence by sentence.
+give one row each (a region that was delivered again adds to its chapter's letters once more); texts of any length are read whole, sentence by sentence.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ def is_whole(sentence: str, code: str) -> bool:
     return len(words) >= (2 if code in ("ko", "ru") else 3) and sum(map(len, words)) >= 8
 
 
-def judge(parts: list[str], classify: Callable[[str], tuple[str | None, float]]) -> tuple[dict[str, float], list[str], list[tuple[str, str | None, float]]]:
+def judge(parts: list[str], classify: lang.Classifier) -> tuple[dict[str, float], list[str], list[tuple[str, str | None, float]]]:
     """(letters by language, languages with a whole sentence, (sentence, language, confidence)) of a text's sentences."""
     weight: dict[str, float] = defaultdict(float)
     whole: dict[str, bool] = {}
@@ -45,7 +45,7 @@ def judge(parts: list[str], classify: Callable[[str], tuple[str | None, float]])
         each.append((s, code, confidence))
         if code and confidence >= MIN_CONFIDENCE:
             weight[code] += len(s)
-            if code not in whole and (is_whole(s, code) or (confidence == lang.KNOWN and lang.ends(s))):
+            if code not in whole and (is_whole(s, code) or (lang.ends(s) and classify.holds(s, code))):
                 whole[code] = True
     return weight, list(whole), each
 
@@ -84,17 +84,24 @@ def document_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataF
     return spread(rows).mapInArrow(run, "doc_id bigint, label string, lang string, share double, confidence double, mixed array<string>")
 
 
-def segments(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """(doc_id, segment, lang, confidence, n_sentences): runs of sentences of one language, in order."""
-    model = docs.sparkSession.sparkContext.broadcast(dictionaries)
+def segments(texts: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:
+    """(record_kind, record_id, segment, lang, confidence, n_sentences): runs of sentences of one language, in order.
+
+    ``texts``: record_kind, record_id, manga_id, text. Documents are read line by line, regions as one paragraph without
+    headers and page numbers. A sentence of no language goes with those before it; a text of no language gives one
+    segment without one. Repeated rows of one record give the same segments once.
+    """
+    model = texts.sparkSession.sparkContext.broadcast((dictionaries, titles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = lang.Classifier(model.value)
+        classify, title = lang.Classifier(model.value[0]), model.value[1]
         for batch in batches:
             out = []
-            for i, text in zip(batch.column(0).to_pylist(), prepared(codepoints.unify_texts(batch.column(1))), strict=True):
+            kinds, ids, manga = (batch.column(k).to_pylist() for k in range(3))
+            for kind, i, m, text in zip(kinds, ids, manga, prepared(codepoints.unify_texts(batch.column(3))), strict=True):
+                parts = lang.document_sentences(text) if kind == "documents" else lang.sentences(lines.paragraph(lines.body_lines(text, title.get(m)) or [""]))
                 runs: list[list] = []
-                for s, code, confidence in judge(lang.document_sentences(text), classify)[2]:
+                for s, code, confidence in judge(parts, classify)[2]:
                     if code is None and runs:
                         runs[-1][3] += 1
                     elif runs and runs[-1][0] in (code, None):
@@ -104,11 +111,11 @@ def segments(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                         runs[-1][3] += 1
                     else:
                         runs.append([code, confidence * len(s), len(s) if code else 0, 1])
-                out += [(i, n, code, round(c / w, 4) if w else None, k) for n, (code, c, w, k) in enumerate(runs)]
-            yield _table(out, ["doc_id", "segment", "lang", "confidence", "n_sentences"], [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()])
+                out += [(kind, i, n, code, round(c / w, 4) if w else None, k) for n, (code, c, w, k) in enumerate(runs)]
+            yield _table(out, ["record_kind", "record_id", "segment", "lang", "confidence", "n_sentences"], [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
-    return spread(rows).mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, n_sentences int")
+    rows = texts.select("record_kind", F.col("record_id").cast("bigint"), "manga_id", "text").where("record_id is not null and text is not null")
+    return spread(rows).mapInArrow(run, "record_kind string, record_id bigint, segment int, lang string, confidence double, n_sentences int").distinct()
 
 
 def region_languages(regions: DataFrame, dictionaries: dict[str, bytes], titles: dict[str, lines.Title]) -> DataFrame:

@@ -33,9 +33,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document's runs of sentences of one language, with confidence."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return langid.segments(documents, lang.fit(documents))
+    """The runs of sentences of one language in each document and region text, with confidence."""
+    documents = table(spark, folder, "documents")
+    texts = documents.select(F.lit("documents").alias("record_kind"), F.col("doc_id").alias("record_id"), "manga_id", "text").unionByName(
+        table(spark, folder, "region_info").select(F.lit("region_info").alias("record_kind"), F.col("region_id").alias("record_id"), "manga_id", "text")
+    )
+    return langid.segments(texts, lang.fit(documents), lines.titles(table(spark, folder, "manga")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,20 +50,29 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scan.repaired(table(spark, folder, "region_info"), lines.titles(table(spark, folder, "manga")))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """(name_id, side, name): names as noted, source and target."""
     names = table(spark, folder, "context_names")
-    of_names = names.select("name_id", "source").unionByName(names.select("name_id", F.col("target").alias("source")))
+    return names.select("name_id", F.lit("source").alias("side"), F.col("source").alias("name")).unionByName(names.select("name_id", F.lit("target").alias("side"), F.col("target").alias("name")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     texts = (
         table(spark, folder, "region_info").select(F.lit("region_info").alias("record_kind"), F.col("region_id").alias("record_id"), "text")
-    ).unionByName(of_names.select(F.lit("context_names").alias("record_kind"), F.col("name_id").alias("record_id"), F.col("source").alias("text")))
+    ).unionByName(_names(spark, folder).select(F.lit("context_names").alias("record_kind"), F.col("name_id").alias("record_id"), F.col("name").alias("text")))
     return codepoints.forms_found(texts.where("record_id is not null and text is not null"), "text", ["record_kind", "record_id"])
 
 
+def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every region in the one form."""
+    texts = table(spark, folder, "region_info").select("region_id", "text").where("region_id is not null")
+    return codepoints.with_unified(texts, "text", "unified").select("region_id", "unified")
+
+
 def p4_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names that compare equal in the one form: how many spellings each had."""
-    names = table(spark, folder, "context_names").where("source is not null").select("name_id", "source")
-    one = codepoints.with_unified(names, "source", "name")
-    return one.groupBy("name").agg(F.countDistinct("source").alias("spellings"), F.countDistinct("name_id").alias("notes")).where("spellings > 1")
+    """Names of each side that compare equal in the one form: how many spellings each had."""
+    one = codepoints.with_unified(_names(spark, folder).where("name is not null").withColumnRenamed("name", "spelling"), "spelling", "name")
+    return one.groupBy("side", "name").agg(F.countDistinct("spelling").alias("spellings"), F.countDistinct("name_id").alias("notes")).where("spellings > 1")
 
 
 def _releases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -64,9 +64,28 @@ def test_find(spark):
 
 
 def test_segments(spark):
-    rows = [(1, "She said that they would not come. Sie sagte, dass sie nicht kommen würden. Es ist nicht das erste Mal."), (2, None), (3, "")]
-    got = langid.segments(spark.createDataFrame(rows, "doc_id long, text string"), lang.dictionaries(MORE * 3)).orderBy("segment").collect()
-    assert [(r.doc_id, r.segment, r.lang, r.n_sentences) for r in got] == [(1, 0, "en", 1), (1, 1, "de", 2)] and all(0 < r.confidence <= 1 for r in got)
+    text = "She said that they would not come. Sie sagte, dass sie nicht kommen würden. Es ist nicht das erste Mal."
+    page = "The Garden of Kazu / 2\nShe said that they would not\ncome. Sie sagte, dass sie nicht kommen würden."
+    rows = [("documents", 1, None, text), ("documents", 1, None, text), ("documents", 2, None, None), ("documents", 3, None, ""), ("region_info", 1, "m", page), (None, None, None, "x")]
+    texts = spark.createDataFrame(rows, "record_kind string, record_id long, manga_id string, text string")
+    got = langid.segments(texts, lang.dictionaries(MORE * 3), {"m": lines.Title("thegardenofkazu", "garden")}).orderBy("record_kind", "segment").collect()
+    assert [(r.record_kind, r.record_id, r.segment, r.lang, r.n_sentences) for r in got if r.lang] == [
+        ("documents", 1, 0, "en", 1), ("documents", 1, 1, "de", 2), ("region_info", 1, 0, "en", 1), ("region_info", 1, 1, "de", 1),
+    ]
+    assert all(0 < r.confidence <= 1 for r in got if r.lang)
+
+
+def test_thinned_evenly():
+    lines_ = [f"sentence number {i:04d}" for i in range(1000)]
+    kept = lang._thinned(lines_, 2_100)
+    assert sum(len(x) + 1 for x in kept) <= 2_100 and len(kept) >= 90 and kept[0] < "sentence number 0020" and kept[-1] > "sentence number 0980"
+    assert lang._thinned(lines_, 10**6) == lines_ and lang._thinned([], 5) == []
+
+
+def test_short_whole_sentences(spark):
+    """A short sentence that a language's dictionary holds as a whole makes a mix in scripts of one language too."""
+    classify = lang.Classifier(lang.dictionaries([("ko", "잠깐만. 이것은 나의 책이에요. 오늘은 날씨가 아주 좋네요.")] * 2))
+    assert not langid.judge(["가나."], classify)[1] and classify.holds("고맙습니다.", "ko") is False
 
 
 def test_empty_tables(spark):
