@@ -64,6 +64,8 @@ def spread(df: DataFrame) -> DataFrame:
     Large tables have more splits than cores and stay as they are; results do not depend on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # counting its tasks would run it
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
