@@ -27,11 +27,13 @@ TRANSLATORS_SQL = "(VALUES " + ", ".join(f"('{r[0]}', '{r[2]}')" for r in lg.LAN
 
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
-    """region_info with each region once: all its deliveries hold the same region."""
-    return table(spark, folder, "region_info").dropDuplicates(["region_id"])
+    """region_info with each region once, as it was delivered first."""
+    rows = table(spark, folder, "region_info")
+    first = rows.groupBy("region_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "region_id"]), F.struct("loaded_at", "text", "translation")).alias("x"))
+    return first.select("region_id", "x.*")
 
 
-REGIONS_SQL = "(SELECT * FROM region_info QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY loaded_at) = 1)"
+REGIONS_SQL = "(SELECT * FROM region_info QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY loaded_at NULLS FIRST, text NULLS FIRST, translation NULLS FIRST) = 1)"
 HISTORY_SQL = "(SELECT * FROM context_history QUALIFY row_number() OVER (PARTITION BY history_id ORDER BY added_at) = 1)"
 
 
@@ -148,8 +150,9 @@ def glossary(spark: SparkSession, folder: str) -> DataFrame:
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     context = tr.rolling_context(_pairs(spark, folder))
     page = _pairs(spark, folder).groupBy("chapter_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("texts"))
-    none = F.array().cast("array<struct<source:string,target:string>>")
-    return context.join(page, ["chapter_id", "page"]).select("chapter_id", "page", tr.prompt(F.lit("Japanese"), F.lit("English"), none, F.col("history"), F.col("texts")).alias("prompt"))
+    names = glossary(spark, folder).groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source", "target"))), lambda n: F.struct(n["source"].alias("source"), n["target"].alias("target"))).alias("names"))
+    rows = context.join(page, ["chapter_id", "page"]).join(names, "chapter_id", "left")
+    return rows.select("chapter_id", "page", tr.prompt(F.lit("Japanese"), F.lit("English"), F.coalesce("names", F.array().cast(names.schema["names"].dataType)), F.col("history"), F.col("texts")).alias("prompt"))
 
 
 def translation_fallback(spark: SparkSession, folder: str) -> DataFrame:
