@@ -104,8 +104,8 @@ SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?])\s+")
 LATIN = re.compile(r"[a-z]+")
 SEEDS = frozenset(SURE_SEEDS)
 COLUMNS = "doc_id string, kind string, value string, around string, sure boolean, n_seeds int, words array<string>, hashes array<bigint>"
-#: Windows of whole-page templates that are broadcast; more of them are joined by shuffle.
-MOST_WINDOWS = 2_000_000
+#: Windows of whole-page templates that each worker holds; more of them are joined by shuffle.
+MOST_WINDOWS = 1_000_000
 #: A template's least number of windows, of its pages, and the parts of its documents and of its windows.
 LEAST_WINDOWS, LEAST_ALONE, PART_ALONE, PART_SHARED = 3, 2, 0.25, 0.2
 #: A window is shared if it stands in other lines this many times as often as the template stands anywhere.
@@ -249,40 +249,58 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, COLUMNS)
 
 
-def line_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(w, covers, n): the wanted windows in all lines, with the openings of the line that hold them, and how often.
+def elsewhere(docs: DataFrame, own: DataFrame, pool: DataFrame) -> DataFrame:
+    """(w, others): how often the windows of ``own`` stand in lines that no opening of which is in ``pool``.
 
-    Up to ``MOST_WINDOWS`` wanted ones are held by each worker, so only lines that have one go on; more are joined.
+    Up to ``MOST_WINDOWS`` windows are held by each worker with the pool, so only counts go on; more are joined.
     """
+    wanted = own.select("w").distinct()
     held = None
-    if wanted.count() <= MOST_WINDOWS:
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
+    if wanted.count() <= MOST_WINDOWS and pool.count() <= MOST_WINDOWS:
+        held = docs.sparkSession.sparkContext.broadcast(tuple(x.toArrow().column(0).to_numpy() for x in (wanted, pool.select("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = set(held.value.tolist()) if held is not None else None
+        keys, known = (set(x.tolist()) for x in held.value) if held is not None else (None, None)
         hashed: dict[str, int] = {}
+        totals: Counter = Counter()
+
+        def record(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["ws", "covers", "n"])
+
         for batch in batches:
             counted = Counter(x for text in batch.column(1).to_pylist() for line in re.split(r"[\r\n]+", text) if (x := line.strip()))
             rows = []
             for line, n in counted.items():
-                heads = None
+                heads = [h64(x) for x in openings(line)]
+                last = len(heads) - 1
                 for i, sentence in enumerate(STOP.split(MASKED.sub("#", SPEAKER.sub("", line)))):
+                    covers = heads[min(i, last) :]
+                    if keys is not None and not known.isdisjoint(covers):
+                        continue
                     if len(hashed) > 500_000:
                         hashed.clear()
                     found = []
                     for w in windows(sentence):
                         if (h := hashed.get(w)) is None:
                             h = hashed[w] = h64(w)
-                        if keys is None or h in keys:
-                            found.append(h)
-                    if found:
-                        heads = heads or [h64(x) for x in openings(line)]
-                        rows.append((found, heads[i:] if i < len(heads) else heads[-1:], n))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.int64())), (2, pa.int64()))], names=["ws", "covers", "n"])
+                        found.append(h)
+                    if keys is None:
+                        rows.append((list(set(found)), covers, n))
+                    else:
+                        for h in keys.intersection(found):
+                            totals[h] += n
+            if rows:
+                yield record(rows)
+        yield record([([h], [], n) for h, n in totals.items()])
 
     each = docs.mapInArrow(run, "ws array<bigint>, covers array<bigint>, n bigint")
-    each = each.select(F.explode(F.array_distinct("ws")).alias("w"), "covers", "n").groupBy("w", "covers").agg(F.sum("n").alias("n"))
-    return each if held is not None else each.join(wanted, "w", "left_semi")
+    if held is None:
+        each = each.groupBy("ws", "covers").agg(F.sum("n").alias("n")).withColumn("place", F.xxhash64("ws", "covers"))
+        covered = each.select("place", F.explode("covers").alias("h")).join(pool.select("h"), "h", "left_semi").select("place").distinct()
+        each = each.join(covered, "place", "left_anti")
+    counted = each.select(F.explode("ws").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("others"))
+    return counted if held is not None else counted.join(wanted, "w", "left_semi")
 
 
 def templates(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -304,11 +322,8 @@ def templates(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     pool = cut(pool.mapInArrow(run, "value string, n bigint, head boolean, h bigint, ws array<bigint>"))
     own = pool.select("h", "n", F.explode("ws").alias("w"))
-    met = cut(line_windows(docs, own.select("w").distinct()).withColumn("place", F.monotonically_increasing_id()))
-    covered = met.select("place", F.explode("covers").alias("h")).join(pool.select("h"), "h", "left_semi").select("place").distinct()
-    elsewhere = met.join(covered, "place", "left_anti").groupBy("w").agg(F.sum("n").alias("others"))
     shared = F.coalesce(F.col("others"), F.lit(0)) > PART_ELSEWHERE * F.col("n")
-    judged = own.join(elsewhere, "w", "left").groupBy("h").agg(F.count("*").alias("n_windows"), F.count_if(shared).alias("n_shared"))
+    judged = own.join(elsewhere(docs, own, pool), "w", "left").groupBy("h").agg(F.count("*").alias("n_windows"), F.count_if(shared).alias("n_shared"))
     closed = cut(pool.drop("ws").join(judged.where(F.col("n_shared") <= PART_SHARED * F.col("n_windows")), "h"))
     # pages again, with nothing below but footers
     known = closed.select(F.col("value").alias("foot"))

@@ -82,3 +82,12 @@ def test_a_slot_repeated_by_many_hands(spark):
     rows += [(5000 + i, f"Erzählung {i}. Der Wind trug den Sand über Haus {i} hinweg, und niemand sprach.\nEin Absatz.\nNoch einer.\nDas Ende {i}.\nNachwort.") for i in range(50)]
     got = {r.doc_id for r in rs.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(3000))
+
+
+def test_windows_by_join_give_the_same(spark, monkeypatch):
+    page, footer = "Your visit has ended. Sign in anew to go on with volume 3.", "Powered by pagecache"
+    rows = [page, f"My Title\n{page}", f"He ran.\n{page} {footer}\nShe ran.\nNo.", "The stair creaks tonight and nobody is home.", "The stair creaks tonight and nobody is home.", "Kari: The stair creaks tonight and Kazu sleeps.\nOh."]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    held = sorted(map(tuple, rs.residue(docs).collect()))
+    monkeypatch.setattr(rs, "MOST_WINDOWS", 0)
+    assert sorted(map(tuple, rs.residue(docs).collect())) == held and {i for i, _ in held} >= {0, 1, 2}
