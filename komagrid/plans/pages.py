@@ -135,4 +135,17 @@ ORACLES = {
                            THEN {{'y0': least(w.y0, c[1].y0), 'y1': greatest(w.y1, c[1].y1), 'm': list_concat(w.m, c[1].m)}} ELSE w END) END) AS rows FROM r GROUP BY page_id),
              g AS (SELECT page_id, flatten(list_transform(rows, lambda w: list_transform(list_sort(w.m), lambda x: x.i))) AS ids FROM f)
         SELECT page_id, unnest(ids) AS region_ord, (generate_subscripts(ids, 1) - 1)::INT AS place FROM g""",
+    "lettering_areas": f"""
+        WITH r AS (SELECT region_id, text_box AS t, bubble_box AS b, greatest(0, floor(round_even((text_box.y1 - text_box.y0) * 0.6::DOUBLE - (text_box.x1 - text_box.x0), 0) / 2))::INT AS e FROM {REGIONS_SQL} WHERE text_box IS NOT NULL),
+             c AS (SELECT *, greatest(0, least({WIDTH}, t.x0 - e)) AS cx0, greatest(0, least({HEIGHT}, t.y0)) AS cy0, greatest(0, least({WIDTH}, t.x1 + e)) AS cx1, greatest(0, least({HEIGHT}, t.y1)) AS cy1 FROM r),
+             i AS (SELECT *, cx1 > cx0 AND cy1 > cy0 AS inside, (b.x1 - b.x0) * 0.15::DOUBLE AS dx, (b.y1 - b.y0) * 0.15::DOUBLE AS dy FROM c)
+        SELECT region_id, CASE WHEN b IS NOT NULL THEN round_even(b.x0 + dx, 0)::INT WHEN inside THEN cx0 ELSE t.x0 - e END AS x0, CASE WHEN b IS NOT NULL THEN round_even(b.y0 + dy, 0)::INT WHEN inside THEN cy0 ELSE t.y0 END AS y0,
+               CASE WHEN b IS NOT NULL THEN round_even(b.x1 - dx, 0)::INT WHEN inside THEN cx1 ELSE t.x1 + e END AS x1, CASE WHEN b IS NOT NULL THEN round_even(b.y1 - dy, 0)::INT WHEN inside THEN cy1 ELSE t.y1 END AS y1 FROM i""",
+    "grouped_regions": f"""
+        WITH d AS {DETECTIONS_SQL}, t AS (SELECT page_id, det_ord, box FROM d WHERE label <> 0), b AS (SELECT page_id, det_ord AS n, box AS bubble FROM d WHERE label = 0),
+             s AS (SELECT page_id, det_ord, n, greatest(0, least(box.x1, bubble.x1) - greatest(box.x0, bubble.x0)) * greatest(0, least(box.y1, bubble.y1) - greatest(box.y0, bubble.y0)) AS shared FROM t JOIN b USING (page_id)),
+             best AS (SELECT * FROM s WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY page_id, det_ord ORDER BY shared DESC, n) = 1),
+             a AS (SELECT t.*, CASE WHEN shared > 0.5 * greatest(0, box.x1 - box.x0) * greatest(0, box.y1 - box.y0) THEN n END AS n FROM t LEFT JOIN best USING (page_id, det_ord)),
+             g AS (SELECT page_id, n IS NULL AS free, coalesce(n, det_ord) AS k, count(*)::INT AS n_boxes, min(box.x0) AS x0, min(box.y0) AS y0, max(box.x1) AS x1, max(box.y1) AS y1, min(det_ord) AS first FROM a GROUP BY ALL)
+        SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY y0, x1 DESC, free, first) - 1)::INT AS region_ord, n_boxes, x0, y0, x1, y1 FROM g""",
 }

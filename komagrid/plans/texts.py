@@ -70,8 +70,9 @@ def join_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prepared_sources(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = F.broadcast(lg.languages(spark).select("code"))
-    rows = regions(spark, folder).join(table(spark, folder, "jobs").select(F.col("id").alias("job_id"), F.col("source_lang").alias("code")), "job_id").join(jobs, "code")
+    """The sources of jobs of a known language; those of other jobs are not prepared at all."""
+    known = F.broadcast(lg.languages(spark).select("code"))  # as many rows as there are languages
+    rows = regions(spark, folder).join(table(spark, folder, "jobs").select(F.col("id").alias("job_id"), F.col("source_lang").alias("code")), "job_id").join(known, "code")
     return rows.select("region_id", t.prepare_source(F.col("text"), F.col("code")).alias("prepared"))
 
 
@@ -186,6 +187,9 @@ SENTENCE_SQL = rf"""
              THEN upper(substr(regexp_extract(p, '(?s)^([¿¡"''«(\-]*)(.*)$', 2), 1, 1)) ELSE substr(regexp_extract(p, '(?s)^([¿¡"''«(\-]*)(.*)$', 2), 1, 1) END ||
         substr(regexp_extract(p, '(?s)^([¿¡"''«(\-]*)(.*)$', 2), 2)), '')
     ELSE text END"""
+TRIMMED = rf"regexp_replace(coalesce(text, ''), '^{BLANKS}+|{BLANKS}+$', '', 'g')"
+LONE_I = rf"regexp_replace(regexp_replace({SENTENCE_SQL}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])i($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1I\2', 'g'), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])i($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1I\2', 'g')"
+UNESCAPED = "replace(replace(replace(replace(replace(translation, '&quot;', '\"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 ORACLES = {
     "language_summary": rf"""
         WITH d AS (SELECT lang, {CLEAN} AS text FROM documents)
@@ -239,4 +243,41 @@ ORACLES = {
         WITH n AS (SELECT * FROM context_names QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY ord) = 1),
              g AS (SELECT chapter_id, source, arg_max(target, ord) AS target, min(ord) AS f FROM n WHERE source <> '' AND target <> '' GROUP BY ALL)
         SELECT chapter_id, source, target, row_number() OVER (PARTITION BY chapter_id ORDER BY f, source) AS place FROM g""",
+    "spanish_marks": rf"""
+        SELECT region_id, regexp_replace(replace(text, '¡', 'i'), '(^|[\s\p{{Z}}¿"''(])i([A-ZÁÉÍÓÚÑ])', '\1¡\2', 'g') AS marked FROM {REGIONS_SQL} WHERE text IS NOT NULL""",
+    "prepared_sources": rf"""
+        WITH r AS (SELECT region_id, source_lang AS code, {TRIMMED} AS text FROM {REGIONS_SQL} x JOIN jobs ON jobs.id = x.job_id JOIN {TRANSLATORS_SQL} ON source_lang = tr.code)
+        SELECT region_id, CASE code WHEN 'ja' THEN regexp_replace(replace(replace(text, '．．．', '…'), '...', '…'), '[ー〜~]{{2,}}', 'ー', 'g')
+               WHEN 'en' THEN {LONE_I} ELSE {SENTENCE_SQL} END AS prepared FROM r""",
+    "clean_results": f"SELECT region_id, {_squeezed(UNESCAPED)} AS cleaned FROM {REGIONS_SQL}",
+    "word_corrections": rf"""
+        WITH n AS (SELECT lang, unnest(regexp_extract_all(lower(text), '([\p{{L}}'']+)')) AS word FROM documents WHERE lang IS NOT NULL), k AS (SELECT lang, word, count(*) AS n FROM n GROUP BY ALL),
+             f AS (SELECT lang, word, log10(n * 1e9 / sum(n) OVER (PARTITION BY lang)) AS zipf FROM k),
+             w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '([\p{{L}}\p{{M}}\p{{N}}_£€]+)')) AS word FROM documents WHERE text IS NOT NULL AND lang IN ({", ".join(f"'{x}'" for x in ocr.CORRECTED)})),
+             own AS (SELECT w.lang, w.word, coalesce(zipf, 0) AS own FROM w LEFT JOIN f ON f.lang = w.lang AND f.word = lower(w.word)),
+             rare AS (SELECT * FROM own WHERE length(word) >= 3 AND own < {ocr.KNOWN_ZIPF}),
+             c(bad, good) AS (VALUES {", ".join(f"('{b}', '{g}')" for b, g in [(b, g) for b, all_ in ocr.CONFUSIONS.items() for g in all_] + list(ocr.PAIRS))}),
+             one AS (SELECT DISTINCT lang, word, own, left(word, i - 1) || good || substr(word, i + length(bad)) AS v FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM rare) JOIN c ON substr(word, i, length(bad)) = bad
+                     UNION SELECT lang, word, own, substr(word, 2) FROM rare WHERE length(word) >= 5),
+             two AS (SELECT DISTINCT lang, word, own, left(v, i - 1) || good || substr(v, i + length(bad)) AS v FROM (SELECT *, unnest(generate_series(1, length(v))) AS i FROM one WHERE v <> word) JOIN c ON substr(v, i, length(bad)) = bad),
+             every AS (SELECT lang, word, own, v, 1 AS step FROM one UNION ALL SELECT lang, word, own, v, 2 FROM (FROM two EXCEPT FROM one)),
+             best AS (SELECT e.lang, e.word, own, step, arg_max(v, (zipf, v)) AS v, max(zipf) AS zipf FROM every e JOIN f ON f.lang = e.lang AND f.word = lower(v) WHERE v <> e.word AND regexp_full_match(v, '\p{{L}}+') GROUP BY ALL),
+             answer AS (SELECT lang, word, arg_min(v, step) AS v FROM best WHERE zipf >= {ocr.NEEDED_ZIPF} AND zipf - own >= {ocr.NEEDED_GAIN} GROUP BY ALL),
+             cased AS (SELECT lang, word, CASE WHEN word = upper(word) THEN upper(v) WHEN left(word, 1) = upper(left(word, 1)) AND left(word, 1) <> lower(left(word, 1)) THEN upper(left(v, 1)) || substr(v, 2) ELSE v END AS corrected FROM answer)
+        SELECT * FROM cased WHERE corrected <> word""",
+    "prompts": f"""
+        WITH h AS (SELECT * FROM {HISTORY_SQL}), p AS (SELECT chapter_id, page, string_agg(n || ': ' || to_json(source)::VARCHAR, chr(10) ORDER BY n) AS texts
+                   FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, page ORDER BY history_id) AS n FROM h) GROUP BY ALL),
+             e AS (SELECT p.chapter_id, p.page, h.page AS hp, history_id, to_json(source)::VARCHAR || ' => ' || to_json(translation)::VARCHAR AS x FROM p JOIN h ON h.chapter_id = p.chapter_id AND h.page < p.page AND source <> '' AND translation <> ''),
+             l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY chapter_id, page ORDER BY hp DESC, history_id DESC) <= 40),
+             s AS (SELECT chapter_id, page, string_agg(x, chr(10) ORDER BY hp, history_id) AS said FROM l GROUP BY ALL),
+             n AS (SELECT * FROM context_names QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY ord) = 1),
+             g AS (SELECT chapter_id, source, arg_max(target, ord) AS target, min(ord) AS f FROM n WHERE source <> '' AND target <> '' GROUP BY ALL),
+             k AS (SELECT chapter_id, string_agg(source || ' => ' || target, chr(10) ORDER BY f, source) AS names FROM g GROUP BY ALL)
+        SELECT chapter_id, page, '[languages]' || chr(10) || 'Japanese => English' || coalesce(chr(10) || chr(10) || '[names: keep these spellings]' || chr(10) || names, '')
+               || coalesce(chr(10) || chr(10) || '[said before on earlier pages, for reference]' || chr(10) || said, '') || chr(10) || chr(10) || '[to translate, by number]' || chr(10) || texts AS prompt
+        FROM p LEFT JOIN s USING (chapter_id, page) LEFT JOIN k USING (chapter_id)""",
+    "translation_fallback": rf"""
+        WITH r AS (SELECT page_id::VARCHAR AS page, region_ord AS ord, {TRIMMED} AS text FROM {REGIONS_SQL} x), p AS (SELECT page, ord, {SENTENCE_SQL} AS text FROM r)
+        SELECT page, ord, CASE WHEN text = '' THEN '' WHEN len(string_split({_squeezed("text")}, ' ')) <= 4 THEN {_squeezed("lower(text)")} ELSE {_squeezed("replace(upper(text), 'ẞ', 'SS')")} END AS translation FROM p""",
 }
