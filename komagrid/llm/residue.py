@@ -261,7 +261,7 @@ def elsewhere(docs: DataFrame, own: DataFrame, pool: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, known = (set(x.tolist()) for x in held.value) if held is not None else (None, None)
-        hashed: dict[str, int] = {}
+        met: dict[str, tuple[int, ...]] = {}
         totals: Counter = Counter()
 
         def record(rows: list[tuple]) -> pa.RecordBatch:
@@ -272,23 +272,22 @@ def elsewhere(docs: DataFrame, own: DataFrame, pool: DataFrame) -> DataFrame:
             counted = Counter(x for text in batch.column(1).to_pylist() for line in re.split(r"[\r\n]+", text) if (x := line.strip()))
             rows = []
             for line, n in counted.items():
-                heads = [h64(x) for x in openings(line)]
+                forms = openings(line)
+                masked, heads = forms[-1], [h64(x) for x in forms]
                 last = len(heads) - 1
-                for i, sentence in enumerate(STOP.split(MASKED.sub("#", SPEAKER.sub("", line)))):
+                for i, sentence in enumerate(STOP.split(masked)):
                     covers = heads[min(i, last) :]
                     if keys is not None and not known.isdisjoint(covers):
                         continue
-                    if len(hashed) > 500_000:
-                        hashed.clear()
-                    found = []
-                    for w in windows(sentence):
-                        if (h := hashed.get(w)) is None:
-                            h = hashed[w] = h64(w)
-                        found.append(h)
+                    if (found := met.get(sentence)) is None:
+                        if len(met) >= 200_000:
+                            met.clear()
+                        every = {h64(w) for w in windows(sentence)}
+                        found = met[sentence] = tuple(every if keys is None else keys & every)
                     if keys is None:
-                        rows.append((list(set(found)), covers, n))
+                        rows.append((list(found), covers, n))
                     else:
-                        for h in keys.intersection(found):
+                        for h in found:
                             totals[h] += n
             if rows:
                 yield record(rows)
