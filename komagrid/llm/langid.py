@@ -168,7 +168,7 @@ def chapter_languages(votes: DataFrame) -> DataFrame:
 def find(documents: DataFrame, chapters: DataFrame, regions: DataFrame, manga: DataFrame, residue: DataFrame) -> DataFrame:
     """(record_kind, record_id, issue, lang) over all three tables; ``residue`` has the doc_ids left out."""
     dictionaries = lang.fit(documents)
-    of_docs = document_languages(documents, dictionaries)
+    of_docs = cut(document_languages(documents, dictionaries))  # read twice
     bad_label = issues(of_docs.where("mixed is null"), "doc_id")
     mixed = of_docs.where("mixed is not null").select("doc_id", F.lit("mixed").alias("issue"), F.explode("mixed").alias("lang"))
     doc_rows = bad_label.unionByName(mixed).join(residue.select("doc_id"), "doc_id", "left_anti")
