@@ -137,7 +137,7 @@ def download(pages: DataFrame, resolve: Callable[[str, int], str] | None = None,
                     content = fetch_page(url, None if resolve is None else lambda c=chapter, p=page: resolve(c, p), get)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_pydict({"chapter_id": [chapter], "page": [page], "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
+                yield pa.RecordBatch.from_pydict({"chapter_id": pa.array([chapter], pa.string()), "page": pa.array([page], pa.int32()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
 
     rows = pages.select(F.col("chapter_id").cast("string"), F.col("page").cast("int"), F.col("url").cast("string"))
     return rows.mapInArrow(run, "chapter_id string, page int, content binary, error string")
