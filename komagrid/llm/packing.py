@@ -116,9 +116,8 @@ def pack(items: DataFrame, specs: DataFrame, item: str = "doc_id", size: str = "
         if moves is None:
             moves = step
         else:
-            moves = moves.join(step.withColumnsRenamed({"container": "into", "into": "next"}), "into", "left").select(
-                "container", F.coalesce("next", "into").alias("into")
-            )
+            onward = step.select(F.col("container").alias("into"), F.col("into").alias("next"))
+            moves = moves.join(onward, "into", "left").select("container", F.coalesce("next", "into").alias("into"))
         left = merged.where("room is not null").select("spec_name", "container", "room")
     out = placed.where("item is not null").drop("room")
     if moves is not None:

@@ -35,6 +35,19 @@ def test_packing_keeps_items_whole(spark):
     assert packing.containers(placed).where("unused < 0").count() == 0
 
 
+@pytest.mark.parametrize("parts", [17, 257])  # two and three rounds of merging
+def test_packing_merges_in_rounds(spark, parts):
+    r = random.Random(3)
+    sizes = [r.choice([*[r.randint(1, 300)] * 4, r.randint(1001, 1300)]) for _ in range(3 * parts)]
+    placed = packing.pack(items(spark, sizes, parts), specs(spark, a=1000)).collect()
+    by_item, by_box = {}, {}
+    for x in placed:
+        by_item.setdefault(x.doc_id, []).append(x["size"])
+        by_box[x.container] = by_box.get(x.container, 0) + x["size"]
+    assert {i: (sum(x), len(x)) for i, x in by_item.items()} == {i: (s, -(-s // 1000)) for i, s in enumerate(sizes)}
+    assert max(by_box.values()) <= 1000 and sum(sizes) > 930 * len(by_box)
+
+
 def test_packing_corner_cases(spark):
     assert packing.pack(items(spark, []), specs(spark, a=10)).count() == 0
     rows = packing.pack(items(spark, [10, 10, 20]), specs(spark, a=10)).collect()
