@@ -106,9 +106,13 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
+def has_windows(text: str) -> bool:
+    return not text.isascii() and WINDOWED.search(text) is not None
+
+
 def windows(text: str) -> list[str]:
     """Three characters around each of a script without blanks, and of Hangul; numbers are 0, ends a blank."""
-    if not WINDOWED.search(text):
+    if not has_windows(text):
         return []
     t = " " + DIGIT.sub("0", " ".join(text.split())) + " "
     return [t[i : i + 3] for i in range(len(t) - 2) if "぀" <= t[i + 1] <= "鿿" or "가" <= t[i + 1] <= "힣"]
@@ -126,6 +130,8 @@ def edge_lines(text: str, title: lines.Title | None, known: frozenset[str]) -> t
         else:
             break
         rest.pop(0)
+    if len(rest) == 1:  # just looked at
+        return rest, header, number
     while rest:
         if lines.is_header(rest[-1], title, known):
             header = True
@@ -196,7 +202,7 @@ def count(regions: DataFrame, titles: dict[str, lines.Title]) -> DataFrame:
                             body = body[:a] + " " + body[b:]
                 words = tokens(body)
                 followed = zip(words, words[1:], strict=False)
-                around = windows(lines.paragraph(body.split("\n"))) if WINDOWED.search(body) else ()
+                around = windows(lines.paragraph(body.split("\n"))) if has_windows(body) else ()
                 if n == 1:
                     seen["w"].update(words)
                     seen["b"].update(followed)
@@ -379,7 +385,7 @@ class Repairer:
                 body = PAIRED.sub(r"\1\2\3", body)
             if MARK_ALONE.search(body) or MARK_ATTACHED.search(body):
                 return True
-        if WINDOWED.search(body):
+        if has_windows(body):
             whole = lines.paragraph(body.split("\n"), join_cut=False)
             if MARK_CJK.search(whole):
                 return True

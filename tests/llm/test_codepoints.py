@@ -58,6 +58,16 @@ def test_composition_is_canonical(text):
     assert cp.unify_texts(pa.array([got]))[0] == got
 
 
+def test_only_texts_with_another_form_are_rewritten(monkeypatch):
+    texts = pa.array(["zz", "plain", None, "Ｔｏｓｅ", "", "đã ổn", "Kаhami", "漢字、한국", "a\u00a0b", "😀", "yy"]).slice(1, 9)
+    whole = cp.strings(*cp.unify(texts)[:2]).to_pylist()
+    seen = []
+    unify = cp.unify
+    monkeypatch.setattr(cp, "unify", lambda x: seen.extend(x.to_pylist()) or unify(x))
+    assert cp.unify_texts(texts) == whole
+    assert seen == ["Ｔｏｓｅ", "Kаhami", "a\u00a0b"]
+
+
 def test_strings_round_trip():
     texts = ["a", "", "漢字", "😀é", "x" * 100_000]
     points, begins = cp.codepoints(pa.array(texts))
